@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("suffix_dedup", "substring_dedup")
+MODULES = ("suffix_dedup", "substring_dedup", "warc", "token_planes")
 
 
 def _parts(attr: str) -> dict:
