@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("suffix_dedup", "substring_dedup", "warc", "token_planes")
+MODULES = ("suffix_dedup", "substring_dedup", "warc", "token_planes", "line_rules")
 
 
 def _parts(attr: str) -> dict:
