@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("suffix_dedup", "substring_dedup", "warc", "token_planes", "line_rules", "winnowing", "simhash", "language", "piece_scan")
+MODULES = ("suffix_dedup", "substring_dedup", "warc", "token_planes", "line_rules", "winnowing", "simhash", "language", "piece_scan", "private_data")
 
 
 def _parts(attr: str) -> dict:

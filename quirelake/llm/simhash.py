@@ -55,14 +55,14 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprinted(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (signed 64 bits) of each row."""
+    """doc_id, th (a key of the row), fp (signed 64 bits) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(x or b"", shingle) for x in b.column("text").to_pylist()]
-            yield batch(arrow("doc_id long, fp long"), doc_id=b.column("doc_id"), fp=np.array(fps, np.uint64).view(np.int64))
+            yield batch(arrow("doc_id long, th long, fp long"), doc_id=b.column("doc_id"), th=b.column("th"), fp=np.array(fps, np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("th"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def bit_groups(fps: DataFrame, m: int) -> list[list[int]]:
@@ -230,19 +230,27 @@ def linked(fps: DataFrame, most: int = 3, m: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint (hexadecimal), component_id of each row."""
+    """doc_id, fingerprint (hexadecimal), component_id of each row; th is a key of the row, root one of its component."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save(fingerprinted(docs, shingle), "prints")
     nodes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(linked(nodes.select("fp"), most), scratch).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(least, "root").select("fp", "component_id")
-    return prints.join(nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = nodes.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "th", "root")
+
+
+def one_of_each(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFrame:
+    """docs without all but one row of each component: that of the least doc_id (null last), then of the least key."""
+    groups = near_duplicates(docs, most, shingle)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("first")).select(F.col("first.th").alias("_row"))
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    return rows.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def op7_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES = {"op7_simhash_gph": op7_simhash_gph}

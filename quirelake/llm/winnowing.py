@@ -31,7 +31,7 @@ from quirelake.llm.suffix_dedup import arrow, batch
 WINDOW = 13
 #: (fewest words, most words, k): items of so many words are fingerprinted by k-grams
 CLASSES = ((1, 1, 1), (2, 3, 2), (4, 7, 4), (8, 12, 8), (13, None, 8))
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>, th long"
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -136,11 +136,12 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_hit[r], found[r] = int(hit.sum()), sorted(ids)
         sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in found]
         bad = [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words.tolist(), strict=True)]
-        yield batch(arrow(RESULT), doc_id=b.column("doc_id"), n_words=n_words, n_hit=n_hit, n_items=[len(x) for x in found], items_sha256=sha, contaminated=bad, items=found)
+        yield batch(arrow(RESULT), doc_id=b.column("doc_id"), n_words=n_words, n_hit=n_hit, n_items=[len(x) for x in found], items_sha256=sha, contaminated=bad, items=found, th=b.column("th"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text) with its words inside windows of the benchmark (item_id, text)."""
+    """One row per row of docs (doc_id, text) with its words inside windows of the benchmark (item_id, text); th is a key
+    of the row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "winnow")
     # distinct texts are the units of comparison; copies learn the outcome by their text's key
@@ -156,8 +157,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.join(scratch.save(met, "met"), "th", "left").mapInArrow(judged, RESULT)
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without contaminated rows."""
+    bad = decontaminated(docs, benchmark).where("contaminated").select(F.col("th").alias("_row")).distinct()
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(bad, "_row", "left_anti").select(*docs.columns)
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items", "th")
 
 
 QUERIES = {"op6_winnowing": op6_winnowing}
