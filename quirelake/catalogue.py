@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quirelake.plans import links, scalars
+
+PARTS = (scalars, links)
+QUERIES: dict = {name: f for p in PARTS for name, f in p.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: s for p in PARTS for name, s in p.ORACLE_SQL.items()}
 FLAGSHIP = "note_link_summary"
