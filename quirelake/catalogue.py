@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirelake.plans import links, scalars
+from quirelake.plans import documents, links, scalars, states, toc
 
-PARTS = (scalars, links)
+PARTS = (scalars, links, documents, states, toc)
 QUERIES: dict = {name: f for p in PARTS for name, f in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: s for p in PARTS for name, s in p.ORACLE_SQL.items()}
 FLAGSHIP = "note_link_summary"
