@@ -8,3 +8,18 @@ PARTS = (scalars, links, documents, states, toc)
 QUERIES: dict = {name: f for p in PARTS for name, f in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: s for p in PARTS for name, s in p.ORACLE_SQL.items()}
 FLAGSHIP = "note_link_summary"
+
+#: Counts that DuckDB gives as 128-bit numbers.
+_COUNTS = {
+    "note_link_summary": "orphan_note orphan_anchor",
+    "chapter_contracts": "n_orphans",
+    "page_role_counts": "noise front_matter body note other",
+    "duplicate_paragraphs": "across_pages",
+    "unit_progress": "done error pending",
+    "retry_summary": "failed manual",
+    "toc_role_counts": "chapters sections entries",
+    "titles_alike": "repeated mixed",
+}
+for _name, _columns in _COUNTS.items():
+    _casts = ", ".join(f"{c}::bigint as {c}" for c in _columns.split())
+    ORACLE_SQL[_name] = f"select * replace ({_casts}) from ({ORACLE_SQL[_name]})"

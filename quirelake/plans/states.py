@@ -72,7 +72,7 @@ def segment_pairs(spark, d):
 @query("segment_current", "", "with l as (select conv_id, role, turn, length(text) as n from conversations union all select conv_id, role, turn + 100, length(text) * 2 from conversations where turn % 3 = 0) select conv_id, role, max(turn) as turn, max_by(n, turn) as n from l group by all")
 def segment_current(spark, d):
     """The newest revision per (conversation, role) of an append-only log."""
-    c = table(spark, d, "conversations").select("conv_id", "role", "turn", F.char_length("text").alias("n"))
+    c = table(spark, d, "conversations").select("conv_id", "role", "turn", F.char_length("text").cast("long").alias("n"))
     log = c.unionByName(c.where("turn % 3 = 0").select("conv_id", "role", (F.col("turn") + 100).alias("turn"), (F.col("n") * 2).alias("n")))
     return S.current(log, ["conv_id", "role"], ["turn", "n"])
 
@@ -156,7 +156,7 @@ def numeric_first_order(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand")
     brands = p.select("p_brand").distinct().withColumn("number", F.regexp_replace("p_brand", "[^0-9]", "").try_cast("int"))
     ranks = brands.withColumn("place", F.dense_rank().over(Window.orderBy("number", "p_brand")))  # one row a brand
-    return p.join(ranks, "p_brand").select("p_partkey", "place")
+    return p.join(ranks, "p_brand").select("p_partkey", F.col("place").cast("long").alias("place"))
 
 
 @query("json_fields", "", "select event_id, try_cast(json_extract_string(props, '$.k') as int) as k, json_extract_string(props, '$.missing') is null as missing from events")

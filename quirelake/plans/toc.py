@@ -118,7 +118,7 @@ def best_in_bands(spark, d):
     return r.where("band = 'top' or r <= 2").drop("r")
 
 
-@query("candidate_runs", "pg", "with c as (select book, page_no, round(0.1 * (doc_id % 11), 4) as score from pg where doc_id % 11 >= 4), r as (select *, sum(case when g is null or g > 2 then 1 else 0 end) over (partition by book order by page_no) as run from (select *, page_no - lag(page_no) over (partition by book order by page_no) as g from c)), t as (select book, min(page_no) as start, max(page_no) as \"end\", round(sum(score), 4) as score from r group by book, run) select * from t")
+@query("candidate_runs", "pg", "with c as (select book, page_no, round(0.1::double * (doc_id % 11), 4) as score from pg where doc_id % 11 >= 4), r as (select *, sum(case when g is null or g > 2 then 1 else 0 end) over (partition by book order by page_no) as run from (select *, page_no - lag(page_no) over (partition by book order by page_no) as g from c)), t as (select book, min(page_no) as start, max(page_no) as \"end\", round(sum(score), 4) as score from r group by book, run) select * from t")
 def candidate_runs(spark, d):
     w = Window.partitionBy("book").orderBy("page_no")
     c = pages(spark, d).where("doc_id % 11 >= 4").select("book", "page_no", F.round(0.1 * (F.col("doc_id") % 11), 4).alias("score"))
