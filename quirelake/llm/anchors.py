@@ -14,6 +14,7 @@ import xxhash
 from quirelake.llm.common import random_words, rolled, span_hashes, window_min, word_spans
 
 PART = 2 << 20  # bytes of text handled at once
+body_hash = xxhash.xxh3_64_intdigest
 
 
 def segments(units: np.ndarray, offs: np.ndarray, width: int, k: int, loops: bool = False):
@@ -66,3 +67,27 @@ def word_segments(hashes: np.ndarray, at: np.ndarray, width: int, k: int, loops:
 
 
 BYTES = random_words(256, 1001)
+
+
+def flagged(row: np.ndarray, key: np.ndarray, lists) -> np.ndarray:
+    """True where the row's list (an Arrow list column over the rows) holds the segment's key."""
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    if not len(values) or not len(key):
+        return np.zeros(len(key), bool)
+    sizes = np.diff(lists.offsets.to_numpy())
+    if lists.null_count:
+        sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
+    known, nth = np.unique(values, return_inverse=True)
+    pairs = np.repeat(np.arange(len(sizes)), sizes) * len(known) + nth
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    return (known[at] == key) & np.isin(row * len(known) + at, pairs)
+
+
+def unions(row: np.ndarray, start: np.ndarray, end: np.ndarray, rows: int) -> list[list[tuple[int, int]]]:
+    """For each row the maximal runs of its intervals, which come ordered by row, start and end."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
+    if len(row):
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] > end[:-1])])
+        for r, s, e in zip(row[new].tolist(), start[new].tolist(), end[np.r_[new[1:] - 1, len(end) - 1]].tolist(), strict=True):
+            out[r].append((s, e))
+    return out

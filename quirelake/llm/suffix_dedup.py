@@ -100,23 +100,26 @@ def repeated_bytes(docs: DataFrame, length: int = 200, k: int = K, shard_bytes:
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow(PARTS)
         for b in batches:
-            ids, ths, whole, part = (b.column(c) for c in ("doc_id", "th", "whole", "part"))
             data, offs = column_bytes(b.column("text"))
-            for r in range(b.num_rows):
-                own = data[offs[r] : offs[r + 1]]
-                raw, spans = own.tobytes(), []
-                split = part[r].is_valid and len(part[r].values) > 0
-                if split or whole[r].is_valid:
-                    _, key, body, first, count, _ = anchors.byte_segments(own, np.array([0, len(own)]), length, k)
-                    hit = np.isin(key, whole[r].values.to_numpy(zero_copy_only=False))
-                    spans = covered(first[hit], first[hit] + count[hit] + length - 1)
-                if split:
-                    hit = np.flatnonzero(np.isin(key, part[r].values.to_numpy(zero_copy_only=False)))
-                    yield batch(schema, kind=["text"], doc_id=ids.slice(r, 1), th=ths.slice(r, 1), blob=[raw], spans=[[x for y in spans for x in y]])
-                    yield batch(schema, kind=["part"] * len(hit), th=[ths[r].as_py()] * len(hit), key=key[hit], body=body[hit], first=first[hit], n=count[hit], blob=[raw[a : a + c + length - 1] for a, c in zip(first[hit].tolist(), count[hit].tolist(), strict=True)])
-                else:
-                    n, removed, runs, sha = kept_row(raw, spans)
-                    yield batch(schema, kind=["done"], doc_id=ids.slice(r, 1), n_bytes=[n], n_removed=[removed], n_spans=[runs], kept_sha256=[sha])
+            for i, j in slices(offs, anchors.PART):
+                own, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                cols = {c: b.column(c).slice(i, j - i) for c in ("doc_id", "th", "whole", "part")}
+                row, key, first, count, _ = anchors.segments(anchors.BYTES[own], at, length, k)
+                hit = anchors.flagged(row, key, cols["whole"])
+                spans = anchors.unions(row[hit], (first - at[row])[hit], (first - at[row] + count)[hit] + length - 1, j - i)
+                split = np.flatnonzero(anchors.flagged(row, key, cols["part"]))
+                raw, with_part = own.tobytes(), np.zeros(j - i, bool)
+                with_part[row[split]] = True
+                if len(split):
+                    texts = [raw[a:e] for a, e in zip(first[split].tolist(), (first + count)[split] + length - 1, strict=True)]
+                    th = cols["th"].to_numpy(zero_copy_only=False)
+                    yield batch(schema, kind=["part"] * len(split), th=th[row[split]], key=key[split], body=np.array([anchors.body_hash(x) for x in texts], np.uint64).view(np.int64), first=(first - at[row])[split], n=count[split], blob=texts)
+                    kept = np.flatnonzero(with_part)
+                    yield batch(schema, kind=["text"] * len(kept), doc_id=cols["doc_id"].take(pa.array(kept)), th=th[kept], blob=[raw[at[r] : at[r + 1]] for r in kept], spans=[[x for y in spans[r] for x in y] for r in kept])
+                done = np.flatnonzero(~with_part)
+                if len(done):
+                    n, removed, runs, sha = zip(*(kept_row(raw[at[r] : at[r + 1]], spans[r]) for r in done.tolist()), strict=True)
+                    yield batch(schema, kind=["done"] * len(done), doc_id=cols["doc_id"].take(pa.array(done)), n_bytes=list(n), n_removed=list(removed), n_spans=list(runs), kept_sha256=list(sha))
 
     found = scratch.save(rows.join(marks, "th", "left").mapInArrow(marked, PARTS), "found", by="kind")
     scratch.drop("keys")
