@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -25,11 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """Arrow batches of texts of 8 MB instead of the default 64, which count several times in JVM and Python; a value
+    that someone chose stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") == "67108864b":
+        spark.conf.set(key, "8m")
+    return spark
+
+
 class Scratch:
     """Written tables that cut lineage. A table outlives lost executors, as it lies in the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = lean(spark)
         self.at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         jvm = spark.sparkContext._jvm
         self.path = lambda sub="": jvm.org.apache.hadoop.fs.Path(self.at + sub)
@@ -87,6 +97,14 @@ def slices(offs: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def portions(b: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with at most so many bytes in a text column, or of one longer row: what becomes Python
+    objects at a time stays small."""
+    sizes = np.nan_to_num(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    for i, j in slices(np.r_[0, np.cumsum(sizes)], most):
+        yield b.slice(i, j - i)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective mixing of 64-bit words."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -180,4 +198,4 @@ def covered(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return lean(spark).read.parquet(f"{sf_dir}/{table}.parquet")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quirelake.llm.common import read
+from quirelake.llm.common import lean, portions, read
 from quirelake.llm.suffix_dedup import arrow, batch
 
 BITS = 15
@@ -137,11 +137,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, idf: np.nd
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from docs (text, lang): all rows for document frequencies, `sample` rows for the weights."""
+    lean(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs_ = np.zeros(1 << BITS, np.int64), 0
-        for b in batches:
+        for b in (x for y in batches for x in portions(y, "text")):
             for _, f, row, has in features(b.column("text").to_pylist()):
                 seen = np.unique(row.astype(np.int64) << BITS | f)
                 total += np.bincount(seen & ((1 << BITS) - 1), minlength=1 << BITS)
@@ -162,7 +163,7 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], idf, np.zeros((1 << BITS, 0)), np.zeros(0))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for y in batches for x in portions(y, "text")):
             langs, hs = b.column("lang"), b.column("h")
             for at, f, row, has in features(b.column("text").to_pylist()):
                 cut = np.searchsorted(np.sort(row, kind="stable"), np.arange(len(has) + 1))
@@ -191,7 +192,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for y in batches for x in portions(y, "text")):
             lang, score = shared.value.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 

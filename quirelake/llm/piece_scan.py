@@ -5,7 +5,9 @@ matrix: entry (s, e) is the best weight of covering the chunk when a piece from
 and its own last piece reaches e characters beyond its end. Matrices combine associatively. A giant text is cut into
 chunks; their matrices are made in parallel, combined, the state at each cut is chosen, and every chunk is traced back
 by itself. Most cuts can be put where no piece crosses (before a space mark that follows another character); there
-the only state is 0, and inside a chunk such places divide the work into short runs, whose best pieces a worker keeps.
+the only state is 0, and inside a chunk such places divide the work into short runs. Plain runs are solved by the
+sentencepiece library's own unigram search over the same weights, each distinct run of a portion once; sums over a run
+stay exact in its 32-bit floats, over a whole text they would not.
 
 Weights are the vocabulary's scores, but pieces of the reserved least score get the least proper score less one, so
 that all sums stay exact integers; characters without a piece are covered at a lower weight and written as bytes.
@@ -28,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import Scratch, read
+from quirelake.llm.common import Scratch, portions, read
 from quirelake.llm.suffix_dedup import arrow, batch
 
 MARK = "▁"
 CHUNK = 1 << 16
-KEPT = 500_000  # most runs whose pieces a worker keeps
+KEPT = 100_000  # most runs whose pieces a worker keeps
+LONG_RUN = 64  # longer runs are not given to the library
 NEVER = -(1 << 60)
 RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -66,6 +69,18 @@ class Vocabulary:
             raise ValueError("only models whose pieces have the space mark in front")
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(MARK, " ").encode() if p.type in (kinds.NORMAL, kinds.USER_DEFINED) else b"" for p in proto.pieces]
         self.most, self.store = kept, {}
+        proto.trainer_spec.model_type = 1  # unigram
+        for p in proto.pieces:
+            if p.piece in self.pieces and p.type in (kinds.NORMAL, kinds.USER_DEFINED):
+                p.score = self.pieces[p.piece][1]
+        import sentencepiece
+
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        self.weight = np.zeros(len(proto.pieces), np.int64)
+        for i, w in self.pieces.values():
+            self.weight[i] = w
+        for x, i in self.byte.items():
+            self.weight[i] = 0 if 128 <= x < 192 else self.unknown  # a character counts once, by its first byte
 
     def steps(self, text: str, i: int):
         """(end, weight, ids) of each piece that starts at i."""
@@ -102,24 +117,30 @@ class Vocabulary:
             j = i
         return weight[n], tuple(x for y in reversed(out) for x in y)
 
-    def run(self, run: str) -> tuple[int, bytes]:
-        """As best(), from the store; ids as 32-bit numbers."""
-        got = self.store.get(run)
-        if got is None:
-            weight, ids = self.best(run)
-            got = weight, np.array(ids, "<u4").tobytes()
-            if len(self.store) >= self.most:
-                self.store.clear()
-            if len(run) <= 64:
-                self.store[run] = got
-        return got
+    def known(self, runs: list[str]) -> dict[str, bytes]:
+        """The ids of each distinct run, as 32-bit numbers."""
+        new = set(runs) - self.store.keys()
+        if len(self.store) + len(new) > self.most:
+            self.store.clear()
+            new = set(runs)
+        plain = [r for r in new if 1 < len(r) <= LONG_RUN and r[0] == MARK and MARK not in r[1:]]
+        for r, ids in zip(plain, self.library.encode([r[1:] for r in plain], num_threads=1), strict=True):
+            self.store[r] = np.array(ids, "<u4").tobytes()
+        for r in new.difference(plain):
+            self.store[r] = np.array(self.best(r)[1], "<u4").tobytes()
+        return self.store
+
+    def joined(self, text: str) -> bytes:
+        runs = RUN.findall(text)
+        return b"".join(map(self.known(runs).__getitem__, runs))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [RUN.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        of = self.known([r for c in cut for r in c]).__getitem__
+        return [np.frombuffer(b"".join(map(of, c)), "<u4") for c in cut]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        runs = RUN.findall(MARK + text.replace(" ", MARK))
-        run, store = self.run, self.store.get
-        return np.frombuffer(b"".join([(store(r) or run(r))[1] for r in runs]), "<u4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
@@ -157,7 +178,7 @@ class Vocabulary:
             return weight[len(chunk) : len(chunk) + self.longest].T.copy()
         a, b = safe[0], safe[-1]
         head = self._ends(chunk[:a], "", 0)[a]
-        middle = sum(self.run(r)[0] for r in RUN.findall(chunk[a:b])) if b > a else 0
+        middle = int(self.weight[np.frombuffer(self.joined(chunk[a:b]), "<u4")].sum())
         tail = self._ends(chunk[b:], ahead, 0)[len(chunk) - b :, 0][: self.longest]
         out = head[:, None] + middle + tail[None, :]
         out[(head[:, None] < NEVER // 2) | (tail[None, :] < NEVER // 2)] = NEVER
@@ -167,7 +188,7 @@ class Vocabulary:
         """ids of the pieces that begin in the chunk, between a state at its start and one at its end."""
         text, n = chunk + ahead[:end], len(chunk) + end
         if start == 0 and end == 0:
-            return tuple(np.frombuffer(b"".join(self.run(r)[1] for r in RUN.findall(chunk)), "<u4").tolist())
+            return tuple(np.frombuffer(self.joined(chunk), "<u4").tolist())
         weight, back = [NEVER] * (n + 1), [None] * (n + 1)
         if start <= n:
             weight[start] = 0
@@ -209,8 +230,9 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-def encoded(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, ids (array of int) of each row of docs (doc_id, text). model: a path, the same on every machine."""
+def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, decode: bool = False) -> DataFrame:
+    """doc_id, ids (array of int) of each row of docs (doc_id, text). model: a path, the same on every machine. decode:
+    also the text that the ids give back, made by the same worker."""
     scratch = Scratch(docs.sparkSession, "pieces")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     giant = F.char_length("text") > 2 * chunk
@@ -218,12 +240,14 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                own = b.slice(a, 1000)
-                ids = [v.encode(t) for t in own.column("text").to_pylist()]
+            for own in portions(b, "text", 1 << 20):
+                ids = v.encode_all(own.column("text").to_pylist())
                 offs = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["doc_id", "ids"])
+                cols = {"doc_id": own.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))}
+                if decode:
+                    cols["text"] = pa.array([v.decode(x) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
@@ -253,7 +277,7 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
             ids = [v.trace(*x) for x in zip(*(b.column(c).to_pylist() for c in ("chunk", "ahead", "start", "end")), strict=True)]
             yield batch(arrow("uid string, doc_id long, k long, ids array<long>"), uid=b.column("uid"), doc_id=b.column("doc_id"), k=b.column("k"), ids=ids)
 
-    out = rows.where(~giant).mapInArrow(small, "doc_id long, ids array<int>")
+    out = rows.where(~giant).mapInArrow(small, "doc_id long, ids array<int>" + ", text string" * decode)
     # equal rows are told apart by their number; the rows are written before it is used again
     large = rows.where(giant).withColumn("uid", F.expr("uuid()"))
     chunks = scratch.save(large.mapInArrow(pieces, "uid string, doc_id long, k long, chunk string, ahead string"), "chunks")
@@ -262,7 +286,8 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     picks = picks.groupBy("uid").agg(F.collect_list(F.struct("k", "m")).alias("ms")).mapInArrow(chosen, "uid string, k long, start long, end long")
     parts = dealt.join(picks, ["uid", "k"]).mapInArrow(traced, "uid string, doc_id long, k long, ids array<long>")
     whole = parts.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    return out.unionByName(whole.select("doc_id", F.flatten("parts.ids").cast("array<int>").alias("ids")))
+    whole = whole.select("doc_id", F.flatten("parts.ids").cast("array<int>").alias("ids"))
+    return out.unionByName(decoded(whole, model) if decode else whole)
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:

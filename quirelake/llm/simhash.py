@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import Scratch, read
+from quirelake.llm.common import Scratch, portions, read
 from quirelake.llm.components import components
 from quirelake.llm.suffix_dedup import arrow, batch
 
@@ -58,7 +58,7 @@ def fingerprinted(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, th (a key of the row), fp (signed 64 bits) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for y in batches for x in portions(y, "text")):
             fps = [fingerprint(x or b"", shingle) for x in b.column("text").to_pylist()]
             yield batch(arrow("doc_id long, th long, fp long"), doc_id=b.column("doc_id"), th=b.column("th"), fp=np.array(fps, np.uint64).view(np.int64))
 
