@@ -133,8 +133,8 @@ def ambiguous_notes(spark, d):
 
 @query("greedy_note_pairs", "an nt", "with a as (select *, row_number() over (partition by book, marker % 40 order by page_no, k) as nth from an), b as (select *, row_number() over (partition by book, marker % 40 order by note_page, marker) as nth from nt) select b.book, b.marker as note, a.marker as anchor from b left join a on a.book = b.book and a.marker % 40 = b.marker % 40 and a.nth = b.nth")
 def greedy_note_pairs(spark, d):
-    a = anchors(spark, d).select("book", F.col("marker").alias("anchor"), (F.col("marker") % 40).alias("marker"), (F.col("page_no") * 100_000 + F.col("k")).alias("page_no"))
-    b = notes(spark, d).select("book", F.col("marker").alias("note"), (F.col("marker") % 40).alias("marker"), (F.col("note_page") * 10_000_000 + F.col("marker")).alias("note_page"))
+    a = anchors(spark, d).select("book", F.col("marker").alias("anchor"), (F.col("marker") % 40).alias("marker"), F.struct("page_no", "k").alias("page_no"))
+    b = notes(spark, d).select("book", F.col("marker").alias("note"), (F.col("marker") % 40).alias("marker"), F.struct("note_page", F.col("marker").alias("m")).alias("note_page"))
     return N.greedy_pairs(b, a, ["book"]).select("book", "note", "anchor")
 
 
