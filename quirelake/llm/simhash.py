@@ -241,9 +241,9 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFra
     return prints.join(nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "th", "root")
 
 
-def one_of_each(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFrame:
-    """docs without all but one row of each component: that of the least doc_id (null last), then of the least key."""
-    groups = near_duplicates(docs, most, shingle)
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without all but one row of each component (doc_id, th, root): that of the least doc_id (null last), then of
+    the least key."""
     first = groups.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("first")).select(F.col("first.th").alias("_row"))
     rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     return rows.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
