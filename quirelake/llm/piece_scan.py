@@ -1,4 +1,8 @@
-"""Subword encoding by a max-plus parallel scan, and decoding, with SentencePiece vocabularies.
+"""Subword encoding and decoding with SentencePiece vocabularies: a BPE model's own merges, or a max-plus parallel scan.
+
+The query and the pipeline return the public BPE model's own ids (`Merges`): texts are cut where no piece can cross, and
+the sentencepiece library merges each distinct run of a portion once. The scan below reads any vocabulary as a unigram
+lattice, whose heaviest segmentation is not what a BPE model gives.
 
 A text's best segmentation is the heaviest path through its pieces. In the semiring (max, +) a chunk of text is a
 matrix: entry (s, e) is the best weight of covering the chunk when a piece from before covers its first s characters
@@ -69,19 +73,25 @@ class Vocabulary:
             raise ValueError("only models whose pieces have the space mark in front")
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(MARK, " ").encode() if p.type in (kinds.NORMAL, kinds.USER_DEFINED) else b"" for p in proto.pieces]
         self.most, self.store = kept, {}
-        proto.trainer_spec.model_type = 1  # unigram
-        for p in proto.pieces:
-            if p.piece in self.pieces and p.type in (kinds.NORMAL, kinds.USER_DEFINED):
-                p.score = self.pieces[p.piece][1]
-        import sentencepiece
-
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        self.library = self.loaded(proto)
         self.weight = np.zeros(len(proto.pieces), np.int64)
         for i, w in self.pieces.values():
             self.weight[i] = w
         for x, i in self.byte.items():
             self.weight[i] = 0 if 128 <= x < 192 else self.unknown  # a character counts once, by its first byte
 
+    def loaded(self, proto):
+        """The library's unigram search over the same weights."""
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        kinds = pb.ModelProto.SentencePiece
+        proto.trainer_spec.model_type = 1  # unigram
+        for p in proto.pieces:
+            if p.piece in self.pieces and p.type in (kinds.NORMAL, kinds.USER_DEFINED):
+                p.score = self.pieces[p.piece][1]
+        return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
     def steps(self, text: str, i: int):
         """(end, weight, ids) of each piece that starts at i."""
         found = False
@@ -205,6 +215,40 @@ class Vocabulary:
         return tuple(x for y in reversed(out) for x in y)
 
 
+class Merges(Vocabulary):
+    """A BPE model's own encoding. Merges make pieces only, so none crosses a place whose two characters stand side by
+    side in no piece; runs are such parts of a text, and so are the chunks of a giant text."""
+
+    def loaded(self, proto):
+        import sentencepiece
+
+        if proto.trainer_spec.model_type != 2:
+            raise ValueError("only BPE models")
+        self.met = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        proto.normalizer_spec.add_dummy_prefix = False  # runs come with their marks
+        return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+    def known(self, runs: list[str]) -> dict[str, bytes]:
+        new = set(runs) - self.store.keys()
+        if len(self.store) + len(new) > self.most:
+            self.store.clear()
+            new = set(runs)
+        new = list(new)
+        for r, ids in zip(new, self.library.encode(new, num_threads=1), strict=True):
+            self.store[r] = np.array(ids, "<u4").tobytes()
+        return self.store
+
+    def cuts(self, text: str, chunk: int) -> list[int]:
+        """Places that divide a marked text into chunks of at least this length, where no merge can cross."""
+        out = [0]
+        while len(text) - out[-1] > chunk:
+            at = next((i for i in range(out[-1] + chunk, len(text)) if text[i - 1 : i + 1] not in self.met), None)
+            if at is None:
+                break
+            out.append(at)
+        return [*out, len(text)]
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product; associative."""
     return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NEVER)
@@ -221,24 +265,24 @@ def states(matrices: list[np.ndarray]) -> list[int]:
     return [0, *out[::-1]]
 
 
-_LOADED: dict[str, Vocabulary] = {}
+_LOADED: dict[tuple[str, bool], Vocabulary] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
-    if path not in _LOADED:
-        _LOADED[path] = Vocabulary(path)
-    return _LOADED[path]
+def vocabulary(path: str, merges: bool = False) -> Vocabulary:
+    if (path, merges) not in _LOADED:
+        _LOADED[path, merges] = (Merges if merges else Vocabulary)(path)
+    return _LOADED[path, merges]
 
 
-def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, decode: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, decode: bool = False, merges: bool = False) -> DataFrame:
     """doc_id, ids (array of int) of each row of docs (doc_id, text). model: a path, the same on every machine. decode:
-    also the text that the ids give back, made by the same worker."""
+    also the text that the ids give back, made by the same worker. merges: the BPE model's own ids."""
     scratch = Scratch(docs.sparkSession, "pieces")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     giant = F.char_length("text") > 2 * chunk
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
+        v = vocabulary(model, merges)
         for b in batches:
             for own in portions(b, "text", 1 << 20):
                 ids = v.encode_all(own.column("text").to_pylist())
@@ -250,7 +294,7 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, decode: bool = Fals
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
+        v = vocabulary(model, merges)
         for b in batches:
             for uid, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("uid", "doc_id", "text")), strict=True):
                 t = MARK + text.replace(" ", MARK)
@@ -259,7 +303,7 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, decode: bool = Fals
                     yield batch(arrow("uid string, doc_id long, k long, chunk string, ahead string"), uid=[uid], doc_id=[doc_id], k=[k], chunk=[t[a:z]], ahead=[t[z : z + v.longest]])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
+        v = vocabulary(model, merges)
         for b in batches:
             m = [v.transfer(c, a).ravel() for c, a in zip(b.column("chunk").to_pylist(), b.column("ahead").to_pylist(), strict=True)]
             yield batch(arrow("uid string, k long, m array<long>"), uid=b.column("uid"), k=b.column("k"), m=m)
@@ -272,29 +316,38 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, decode: bool = Fals
                 yield batch(arrow("uid string, k long, start long, end long"), uid=[uid] * (len(s) - 1), k=range(len(s) - 1), start=s[:-1], end=s[1:])
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
+        v = vocabulary(model, merges)
         for b in batches:
             ids = [v.trace(*x) for x in zip(*(b.column(c).to_pylist() for c in ("chunk", "ahead", "start", "end")), strict=True)]
             yield batch(arrow("uid string, doc_id long, k long, ids array<long>"), uid=b.column("uid"), doc_id=b.column("doc_id"), k=b.column("k"), ids=ids)
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(model, merges)
+        for b in batches:
+            ids = [np.frombuffer(v.joined(c), "<u4").tolist() for c in b.column("chunk").to_pylist()]
+            yield batch(arrow("uid string, doc_id long, k long, ids array<long>"), uid=b.column("uid"), doc_id=b.column("doc_id"), k=b.column("k"), ids=ids)
+
     out = rows.where(~giant).mapInArrow(small, "doc_id long, ids array<int>" + ", text string" * decode)
     # equal rows are told apart by their number; the rows are written before it is used again
     large = rows.where(giant).withColumn("uid", F.expr("uuid()"))
     chunks = scratch.save(large.mapInArrow(pieces, "uid string, doc_id long, k long, chunk string, ahead string"), "chunks")
     dealt = chunks.repartition("uid", "k")
-    picks = dealt.select("uid", "k", "chunk", "ahead").mapInArrow(matrices, "uid string, k long, m array<long>")
-    picks = picks.groupBy("uid").agg(F.collect_list(F.struct("k", "m")).alias("ms")).mapInArrow(chosen, "uid string, k long, start long, end long")
-    parts = dealt.join(picks, ["uid", "k"]).mapInArrow(traced, "uid string, doc_id long, k long, ids array<long>")
+    if merges:
+        parts = dealt.select("uid", "doc_id", "k", "chunk").mapInArrow(joined, "uid string, doc_id long, k long, ids array<long>")
+    else:
+        picks = dealt.select("uid", "k", "chunk", "ahead").mapInArrow(matrices, "uid string, k long, m array<long>")
+        picks = picks.groupBy("uid").agg(F.collect_list(F.struct("k", "m")).alias("ms")).mapInArrow(chosen, "uid string, k long, start long, end long")
+        parts = dealt.join(picks, ["uid", "k"]).mapInArrow(traced, "uid string, doc_id long, k long, ids array<long>")
     whole = parts.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     whole = whole.select("doc_id", F.flatten("parts.ids").cast("array<int>").alias("ids"))
-    return out.unionByName(decoded(whole, model) if decode else whole)
+    return out.unionByName(decoded(whole, model, merges) if decode else whole)
 
 
-def decoded(rows: DataFrame, model: str) -> DataFrame:
+def decoded(rows: DataFrame, model: str, merges: bool = False) -> DataFrame:
     """doc_id, ids, text of each row (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
+        v = vocabulary(model, merges)
         for b in batches:
             texts = [v.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
@@ -302,11 +355,11 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-def digests(rows: DataFrame, model: str) -> DataFrame:
+def digests(rows: DataFrame, model: str, merges: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of little-endian 32-bit ids), decoded_sha256 of each row (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
+        v = vocabulary(model, merges)
         for b in batches:
             ids = [x.values.to_numpy(zero_copy_only=False) for x in b.column("ids")]
             crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
@@ -323,7 +376,7 @@ def model_path() -> str:
 
 
 def op8_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encoded(read(spark, sf_dir, "documents"), model_path()), model_path())
+    return digests(encoded(read(spark, sf_dir, "documents"), model_path(), merges=True), model_path(), merges=True)
 
 
 QUERIES = {"op8_piece_scan": op8_piece_scan}
