@@ -19,13 +19,14 @@ def _columns(names: list[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
-def numbered(df: DataFrame, group: list[str], order: str, name: str, block: int = BLOCK) -> DataFrame:
-    """row_number() over (partition by group order by order) for an integer order column that is unique per group."""
+def numbered(df: DataFrame, group: list[str], order: str, name: str, block: int = BLOCK, then: tuple[str, ...] = ()) -> DataFrame:
+    """row_number() over (partition by group order by order, then) for an integer order column, which cuts the blocks; the
+    order columns together are unique per group."""
     df = df.withColumn("_block", F.floor(F.col(order) / block))
     sums = df.groupBy(*group, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*group, "_block").orderBy(order)
+    inside = Window.partitionBy(*group, "_block").orderBy(order, *then)
     out = df.withColumn("_row", F.row_number().over(inside)).join(sums, [*group, "_block"])
     return out.withColumn(name, (F.col("_row") + F.col("_before")).cast("int")).drop("_row", "_before", "_block")
 

@@ -32,8 +32,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book, page_no, k, marker: lines that carry a note marker, numbered through the book."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line")).where("line <> '' and (doc_id * 7 + k) % 5 = 0")
-    place = docs.select("book", "doc_id", "k", (F.col("doc_id") * 100_000 + F.col("k")).alias("at"))
-    numbers = numbered(place, ["book"], "at", "marker", block=100_000 << 10)
+    numbers = numbered(docs.select("book", "doc_id", "k"), ["book"], "doc_id", "marker", block=1 << 10, then=("k",))
     page_of = numbered(table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id"), ["book"], "doc_id", "page_no")
     return numbers.join(page_of, ["book", "doc_id"]).select("book", "page_no", "k", "marker")
 
