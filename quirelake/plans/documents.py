@@ -116,7 +116,7 @@ def duplicate_paragraphs(spark, d):
 
 @query("duplicate_headings", "sm", "with t as (select doc_id, lower(trim(regexp_replace(substr(s, 4), '\\s+', ' ', 'g'))) as t, count(*) as n from sm where starts_with(s, '## ') group by all) select doc_id, sum(n - 1)::bigint as extra from t group by doc_id")
 def duplicate_headings(spark, d):
-    t = samples(spark, d).where(F.startswith("s", F.lit("## "))).select("doc_id", F.lower(T.squeezed(F.substring("s", 4, 1_000_000))).alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("n"))
+    t = samples(spark, d).where(F.startswith("s", F.lit("## "))).select("doc_id", F.lower(T.squeezed(F.expr("substring(s, 4)"))).alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("n"))
     return t.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("extra"))
 
 
