@@ -68,6 +68,11 @@ class Scratch:
             self.fs.delete(self.path(f"/{name}"), True)
 
 
+def one_each(manifest: DataFrame, order: str) -> DataFrame:
+    """The rows of a manifest of files, about one a task: a count of tasks that is given is not lowered at run time."""
+    return manifest.repartitionByRange(max(1, manifest.count()), order)
+
+
 def file_system(uri: str):
     """(file system, path) of a shared folder, for files that are not Spark tables."""
     from pyarrow import fs

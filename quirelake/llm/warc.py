@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import Scratch, file_system, read
+from quirelake.llm.common import Scratch, file_system, one_each, read
 from quirelake.llm.suffix_dedup import arrow, batch
 
 CHUNK = 1 << 20
@@ -181,7 +181,7 @@ def chunk_table(manifest: DataFrame, payload: bool = True, chunk_bytes: int = CH
                 if rows:
                     yield batch(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
 
-    return manifest.select("uri").repartition(F.col("uri")).mapInArrow(reader, CHUNKS)
+    return one_each(manifest.select("uri"), "uri").mapInArrow(reader, CHUNKS)
 
 
 def round_trip(pages: DataFrame, least: int = LEAST, chunk_bytes: int = CHUNK) -> DataFrame:
