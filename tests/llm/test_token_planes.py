@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -44,3 +45,17 @@ def test_empty_and_repeated_rows(spark):
     assert documents(write(table(spark, []), Scratch(spark, "t"), PATH)).collect() == []
     got = documents(write(table(spark, ["b", "a a", None], [1, 1, 1]), Scratch(spark, "t"), PATH)).orderBy("start").collect()
     assert [(r.start, r.n_tokens) for r in got] == [(0, 1), (1, 3), (4, 2)]
+
+
+def test_random_texts_give_the_library_ids():
+    rng, library, own = random.Random(5), Tokenizer.from_file(PATH), Encoder(PATH, most=20_000)
+    abc = ["a", "the", "Z", "7", "42", "'", "'s", "'re", ".", "((", "-", " ", "  ", "\n", "\t", "\r\n", "\x0b", "é", "漢", "😀", " ", " ", "　", "᠎", "﻿", "​", "\x00", "\x1c", "\x7f", "\x85", "́", "²", "١", "<|endoftext|>"]
+    for _ in range(40):
+        texts = ["".join(rng.choices(abc, k=rng.randint(0, 40))) for _ in range(100)]
+        assert [x.tolist() for x in own.batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_very_long_texts():
+    library, own = Tokenizer.from_file(PATH), Encoder(PATH)
+    texts = ["it is 4 o'clock. " * 60_000, "word" * 20_000, "漢字" * 20_000, "\n" * 9999]
+    assert [x.tolist() for x in own.batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
