@@ -7,7 +7,8 @@ The trees are fitted on the driver on a generated, labelled set of fixed size, a
 path stays in the JVM.
 
 Places of matches come from the texts between them: split() and regexp_extract_all() with one pattern give the gaps
-and the hits in turn, and running sums of their lengths give code point places. Patterns start only where a run of
+and the hits in turn, and running sums of their lengths, made by doubling, give places in code points and in bytes.
+Pieces of a text are cut from its bytes, so no step walks a text again for each of its matches. Patterns start only where a run of
 their characters starts, or where the last match ended, and are possessive, so that long runs cost linear time and no
 stack.
 
@@ -37,38 +38,71 @@ BASE = {
 }
 #: Generators of further candidates: kind, pattern, a character that any match holds.
 MORE = {
-    "email": (r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}+(?: ?[\[(] ?dot ?[\])] ?|\.)[a-z]{2,12}+(?![a-z])", "@([a"),
+    "email": (r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[a-z0-9-]++(?: ?[\[(] ?dot ?[\])] ?|\.)[a-z]{2,}+(?![a-z])", "@([a"),
     "phone": (r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3,4}[ .-][0-9]{4}(?![0-9-]|\.[0-9])", "0"),
     "identity": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "0"),
     "account": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "0"),
-    "key": (r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,128}+(?![A-Za-z0-9_-])", "0"),
+    "key": (r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+(?![A-Za-z0-9_-])", "0"),
 }
 KINDS = ("email", "ip", "card", "phone", "identity", "account", "key")
 BEFORE = 40
+CHECKED = 64  # a check digit is looked for in so many digits at most
 FEATURES = ("length", "digits", "letters_capital", "letters_small", "breaks", "cue_contact", "cue_secret", "cue_number", "hex_only", "distinct", "lead_zero", "check_digit")
 CUES = {"cue_contact": "phone|tel|call|mail|contact|fax|reach", "cue_secret": "key|token|secret|password|bearer|api|auth", "cue_number": "ssn|social|identity|iban|account|no\\.|number|passport"}
 
 
+def scanned(a: Column, join) -> Column:
+    """Running totals of an array under an associative join, by doubling: size * log(size) steps."""
+    rounds = F.sequence(F.lit(0), F.greatest(F.lit(0), F.char_length(F.bin(F.greatest(F.lit(0), F.size(a) - 1).cast("long"))) - 1))
+
+    def double(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.coalesce(join(x, F.get(acc, i - back)), x))
+
+    return F.aggregate(rounds, a, double)
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, hit>> of all matches in order; places in code points."""
+    """array<struct<start, end, low, high, hit>> of all matches in order; start and end in code points, low and high in
+    bytes."""
+    size = lambda x: F.char_length(x).cast("long") + F.octet_length(x).cast("long") * F.lit(1 << 32)  # noqa: E731  both sums in one number
 
     def placed(parts: Column) -> Column:
-        pairs = F.zip_with(F.slice(parts["gaps"], F.lit(1), F.size(parts["hits"])), parts["hits"], lambda g, h: F.struct(F.char_length(g).alias("gap"), h.alias("hit")))
-        none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        steps = F.zip_with(F.slice(parts["gaps"], F.lit(1), F.size(parts["hits"])), parts["hits"], lambda g, h: size(g) + size(h))
 
-        def add(acc: Column, p: Column) -> Column:
-            start = acc["at"] + p["gap"]
-            end = start + F.char_length(p["hit"])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit")))).alias("out"))
+        def one(end: Column, h: Column) -> Column:
+            start, places = end - size(h), {}
+            for name, x, part in (("start", start, 0), ("end", end, 0), ("low", start, 1), ("high", end, 1)):
+                places[name] = (F.shiftright(x, 32) if part else x.bitwiseAND(F.lit((1 << 32) - 1))).cast("int")
+            return F.struct(*(v.alias(k) for k, v in places.items()), h.alias("hit"))
 
-        return F.aggregate(pairs, zero, add, lambda acc: acc["out"])
+        return F.zip_with(scanned(steps, lambda x, y: x + y), parts["hits"], one)
 
     return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), placed)
 
 
+def piece(raw: Column, low: Column, high: Column) -> Column:
+    """Bytes [low, high) of a binary value as text, in time of their own number."""
+    return F.substring(raw, low + 1, high - low).cast("string")
+
+
+def apart(candidates: Column, taken: Column) -> Column:
+    """The candidates that meet no span of `taken`."""
+    event = lambda own: lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["low"].alias("low"), s["high"].alias("high"), s["hit"].alias("hit"))
+    events = F.array_sort(F.concat(F.transform(taken, event(0)), F.transform(candidates, event(1))))
+    ends = lambda e: scanned(F.transform(e, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(0)), F.greatest)
+    nexts = lambda e: F.reverse(scanned(F.transform(F.reverse(e), lambda x: F.when(x["own"] == 0, x["start"]).otherwise((1 << 31) - 1)), F.least))
+
+    def kept(v: Column) -> Column:
+        free = F.filter(v["e"], lambda x, i: (x["own"] == 1) & (F.get(v["ends"], i) <= x["start"]) & (F.get(v["nexts"], i) >= x["end"]))
+        return F.transform(free, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "end", "low", "high", "hit"))))
+
+    met = let(events, lambda e: let(F.struct(e.alias("e"), ends(e).alias("ends"), nexts(e).alias("nexts")), kept))
+    return F.when((F.size(candidates) == 0) | (F.size(taken) == 0), candidates).otherwise(met)
+
+
 def digits(x: Column) -> Column:
-    return F.regexp_replace(x, "[^0-9]", "")
+    return F.regexp_replace(x, "[^0-9]++", "")
 
 
 def luhn(d: Column) -> Column:
@@ -78,10 +112,6 @@ def luhn(d: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.char_length(d) - 1), F.lit(0), lambda acc, i: acc + term(i)) % 10 == 0
 
 
-def _substring(text: Column, at: Column, n: Column) -> Column:
-    return F.substr(text, at, n)
-
-
 CHECKS = {
     "email": lambda h: F.lit(True),
     "ip": lambda h: F.forall(F.split(h, r"\."), lambda p: F.regexp_like(p, F.lit("^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))),
@@ -89,7 +119,7 @@ CHECKS = {
     "phone": lambda h: F.char_length(digits(h)).between(8, 15),
 }
 HAS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-NONE = "array<struct<start:int,end:int,hit:string>>"
+NONE = "array<struct<start:int,end:int,low:int,high:int,hit:string>>"
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -106,7 +136,7 @@ def _features(kind: str, hit: str, before: str) -> list[float]:
     import re
 
     d = re.sub("[^0-9]", "", hit)
-    total = sum((x if i % 2 == 0 else 2 * x - 9 * (x > 4)) for i, x in enumerate(int(c) for c in reversed(d))) if d else 1
+    total = sum((x if i % 2 == 0 else 2 * x - 9 * (x > 4)) for i, x in enumerate(int(c) for c in reversed(d))) if 0 < len(d) <= CHECKED else 1
     cue = {k: float(bool(re.search(v, before.lower()))) for k, v in CUES.items()}
     return [len(hit), len(d), len(re.sub("[^A-Z]", "", hit)), len(re.sub("[^a-z]", "", hit)), len(re.sub("[^ .()-]", "", hit)), cue["cue_contact"], cue["cue_secret"], cue["cue_number"], float(bool(re.fullmatch("[0-9a-f]+", hit))), len(set(hit)), float(d[:1] == "0"), float(total % 10 == 0)]
 
@@ -117,7 +147,7 @@ def feature_columns(hit: Column, before: Column) -> dict[str, Column]:
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     out = [F.char_length(hit).cast("double"), F.char_length(d).cast("double"), size("[^A-Z]"), size("[^a-z]"), size("[^ .()-]")]
     out += [flag(F.regexp_like(low, F.lit(v))) for v in CUES.values()]
-    out += [flag(F.regexp_like(hit, F.lit("^[0-9a-f]+$"))), F.size(F.array_distinct(F.split(hit, ""))).cast("double"), flag(F.substring(d, 1, 1) == "0"), flag((F.char_length(d) > 0) & luhn(F.when(F.char_length(d) > 0, d).otherwise("1")))]
+    out += [flag(F.regexp_like(hit, F.lit("^[0-9a-f]+$"))), F.size(F.array_distinct(F.split(hit, ""))).cast("double"), flag(F.substring(d, 1, 1) == "0"), flag(luhn(F.when(F.char_length(d).between(1, CHECKED), d).otherwise("1")))]
     return dict(zip(FEATURES, out, strict=True))
 
 
@@ -145,8 +175,8 @@ def generated(kind: str, rng: np.random.Generator, n: int) -> tuple[list[list[fl
             hit = f"{chars(upper, 2)}{chars(dig, 2)} " + " ".join(chars(dig, 4) for _ in range(4)) if good else f"{chars(upper, 2)}{chars(dig, 2)}" + "".join(chars(upper, 4) for _ in range(4))
             before = pick(["iban ", "account: ", ""]) if good else pick(plain)
         else:
-            k = int(rng.integers(24, 65))
-            hit = (chars("0123456789abcdef", 40) if rng.random() < 0.5 else chars(lower + upper + dig, k)) if good else pick([chars(lower, k), "-" * k, "_" * k, chars("ab", k), "-".join(word() for _ in range(8))[:k].ljust(24, "a")])
+            k = int(rng.integers(24, 65)) if rng.random() < 0.7 else int(rng.integers(65, 400))
+            hit = (chars("0123456789abcdef", pick([32, 40, 64, k])) if rng.random() < 0.5 else chars(lower + upper + dig, k)) if good else pick([chars(lower, k), "-" * k, "_" * k, chars("ab", k), "-".join(word() for _ in range(8))[:k].ljust(24, "a")])
             before = pick(["api_key = ", "token = ", "secret: ", "password ", ""]) if good else pick(plain)
         x.append(_features(kind, hit, before))
         y.append(int(good))
@@ -214,37 +244,35 @@ def tree_column(tree, features: dict[str, Column]) -> Column:
     return F.when(features[FEATURES[f]] <= F.lit(cut), tree_column(low, features)).otherwise(tree_column(high, features))
 
 
-def more_spans(text: Column, kind: str, taken: Column) -> Column:
-    """Candidates of a kind over its threshold that meet no span of `taken`."""
+def more_spans(text: Column, raw: Column, kind: str, taken: Column) -> Column:
+    """Candidates of a kind over its threshold that meet no span of `taken`. raw: the text's bytes."""
     trees, threshold = models()[kind]
     pattern, hint = MORE[kind]
 
     def passes(s: Column) -> Column:
-        before = _substring(text, F.greatest(F.lit(1), s["start"] + 1 - BEFORE), F.least(s["start"], F.lit(BEFORE)))
+        before = F.right(piece(raw, F.greatest(F.lit(0), s["low"] - 4 * BEFORE), s["low"]), F.lit(BEFORE))
         names = list(FEATURES)
         features = F.struct(*(v.alias(k) for k, v in feature_columns(s["hit"], before).items()))
         margin = let(features, lambda f: reduce(lambda a, b: a + b, (tree_column(t, {n: f[n] for n in names}) for t in trees)))
-        free = ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-        return free & (margin >= threshold)
+        return margin >= threshold
 
     there = F.regexp_like(text, F.lit("[\\[(] ?[aA][tT] ?[\\])]")) if hint != "0" else F.regexp_like(text, F.lit("[0-9]" if kind != "key" else "[A-Za-z0-9_-]{24}"))
-    return F.when(there, F.filter(spans(text, pattern), passes)).otherwise(F.array().cast(NONE))
+    passing = let(F.filter(spans(text, pattern), passes), lambda c: apart(c, taken))
+    return F.when(there, passing).otherwise(F.array().cast(NONE))
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """docs with column `pii`: a struct of one array of spans per kind (base kinds: base spans and added ones apart)."""
+    """docs with columns _base (a struct of base spans by kind), _more_KIND (added spans), _text and _raw."""
     docs = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     base = F.struct(*(base_spans(F.col("_text"), k).alias(k) for k in BASE))
     docs = docs.withColumn("_base", base)
     taken = F.concat(*(F.col(f"_base.{k}") for k in BASE))
 
-    def added(b: Column) -> Column:
-        out, now = [], b
-        for k in MORE:
-            out.append(more_spans(F.col("_text"), k, now).alias(k))
-        return F.struct(*out)
-
-    return docs.withColumn("_more", let(taken, added))
+    docs = docs.withColumn("_raw", F.col("_text").cast("binary"))
+    for k in MORE:  # kind by kind, as the spans of one are taken for the next
+        docs = docs.withColumn(f"_more_{k}", more_spans(F.col("_text"), F.col("_raw"), k, taken))
+        taken = F.concat(taken, F.col(f"_more_{k}"))
+    return docs
 
 
 def _named(kind: str, array: Column) -> Column:
@@ -252,7 +280,7 @@ def _named(kind: str, array: Column) -> Column:
 
 
 def _all_of(kind: str) -> Column:
-    parts = ([F.col(f"_base.{kind}")] if kind in BASE else []) + ([F.col(f"_more.{kind}")] if kind in MORE else [])
+    parts = ([F.col(f"_base.{kind}")] if kind in BASE else []) + ([F.col(f"_more_{kind}")] if kind in MORE else [])
     return F.array_sort(F.concat(*parts)) if len(parts) > 1 else parts[0]
 
 
@@ -266,24 +294,24 @@ def detected(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of its text replaced by the kind of the widest span there, as <EMAIL>; other columns stay."""
-    names = docs.columns
-    d = found(docs)
+    own = F.struct(*(F.col(f"`{n}`") for n in docs.columns))  # apart from columns made here
+    d = found(docs.select(own.alias("_row"), "text"))
 
     def labelled(kind: str) -> Column:
-        return F.transform(_all_of(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("label")))
-
-    marked = F.concat(*map(labelled, KINDS))
-    ordered = F.array_sort(marked, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = _substring(F.col("_text"), acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, s["label"])).otherwise(acc["out"]).alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], _substring(F.col("_text"), acc["at"] + 1, F.greatest(F.lit(0), F.char_length("_text") - acc["at"])))
-    new = F.when(F.col("text").isNotNull(), let(ordered, lambda o: F.when(F.size(o) == 0, F.col("_text")).otherwise(F.aggregate(o, zero, step, rest))))
-    return d.withColumn("text", new).select(*names)
+        return F.transform(_all_of(kind), lambda s: F.struct(s["low"].alias("low"), (-s["high"]).alias("high"), F.lit(f"<{kind.upper()}>").alias("label")))
+
+    def replaced(v: Column) -> Column:
+        """Where a span begins behind all before it, the text between and a label; then the rest."""
+        end = lambda i: F.coalesce(F.get(v["ends"], i - 1), F.lit(0))
+        fresh = F.filter(F.transform(v["o"], lambda s, i: F.struct(end(i).alias("from"), s["low"].alias("low"), s["label"].alias("label"))), lambda s: s["from"] <= s["low"])
+        parts = F.transform(fresh, lambda s: F.concat(piece(F.col("_raw"), s["from"], s["low"]), s["label"]))
+        return F.concat(F.array_join(parts, ""), piece(F.col("_raw"), F.element_at(v["ends"], -1), F.octet_length("_raw")))
+
+    ordered = F.array_sort(F.concat(*map(labelled, KINDS)))
+    ends = lambda o: scanned(F.transform(o, lambda s: -s["high"]), F.greatest)
+    new = let(ordered, lambda o: F.when(F.size(o) == 0, F.col("_text")).otherwise(let(F.struct(o.alias("o"), ends(o).alias("ends")), replaced)))
+    new = F.when(F.col("text").isNotNull(), new)
+    return d.select(*((new if n == "text" else F.col("_row").getField(n)).alias(n) for n in docs.columns))
 
 
 def op9_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
