@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -80,6 +81,14 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
 
+NULL_ID = -(1 << 63)
+
+
+def numbered(doc_id: Column) -> Column:
+    """doc_id as a number that is never null, for joins."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NULL_ID))
+
+
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, offsets) of a binary column without a copy; null is empty."""
     if col.null_count:

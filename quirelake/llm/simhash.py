@@ -8,7 +8,7 @@ fingerprint is then stored under its group value and probed under all values wit
 verified on all 64 bits.
 
 Copies have one fingerprint and are one node. A bucket gives a spanning forest of its links, not all its pairs; a
-large bucket is divided again by the same principle on its other bits. Components come from star contraction.
+large bucket is divided again and again by the same principle on its other bits. Components come from star contraction.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; component_id is the least
 non-null doc_id of the component; rows with equal doc_id keep their own fingerprints; an empty table gives an empty
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import Scratch, portions, read
+from quirelake.llm.common import Scratch, numbered, portions, read
 from quirelake.llm.components import components
 from quirelake.llm.suffix_dedup import arrow, batch
 
@@ -136,9 +136,9 @@ def thresholds(cost: list[list[float]], total: int) -> list[int]:
     return best[-1][need][1]
 
 
-def near_links(fps: np.ndarray, most: int, groups: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links within a bucket; exact. Large sets divide by four groups of bits, of which at
-    least one agrees in any pair that differs in at most three bits."""
+def near_links(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among fingerprints; exact. A large set divides by most + 1 groups of bits, of which
+    at least one agrees in any pair that differs in at most `most` bits; the parts divide further by their other bits."""
     parent = list(range(len(fps)))
 
     def root(i: int) -> int:
@@ -149,26 +149,40 @@ def near_links(fps: np.ndarray, most: int, groups: list[np.ndarray] | None = Non
 
     out: list[tuple[int, int]] = []
 
-    def compare(at: np.ndarray, depth: int) -> None:
-        if len(at) <= BRUTE or depth == 3:
-            own = fps[at]
+    def link(i: int, j: int) -> None:
+        a, b = root(i), root(j)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((i, j))
+
+    def compare(at: np.ndarray, bits: list[int]) -> None:
+        """All links among fps[at], which agree in all but `bits`."""
+        own = fps[at]
+        if len(bits) <= most:
+            for j in at[1:].tolist():
+                link(int(at[0]), j)
+            return
+        if len(at) <= BRUTE:
             for i in range(len(at) - 1):
                 for j in np.flatnonzero(np.bitwise_count(own[i + 1 :] ^ own[i]) <= most).tolist():
-                    a, b = root(int(at[i])), root(int(at[i + 1 + j]))
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-                        out.append((int(at[i]), int(at[i + 1 + j])))
+                    link(int(at[i]), int(at[i + 1 + j]))
             return
+        divided = []
         for g in range(most + 1):
-            lo, hi = 64 * g // (most + 1), 64 * (g + 1) // (most + 1)
-            values = (fps[at] >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
+            part = bits[g :: most + 1]
+            values = own & np.uint64(sum(1 << b for b in part))
             order = np.argsort(values, kind="stable")
             cut = np.flatnonzero(np.r_[True, np.diff(values[order]) != 0, True])
+            rest = [b for b in bits if b not in part]
+            if len(cut) == 2:  # all agree here, so the other bits hold all differences
+                return compare(at, rest)
+            divided.append((order, cut, rest))
+        for order, cut, rest in divided:
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if b - a > 1:
-                    compare(at[order[a:b]], depth + 1 if b - a < len(at) else 3)
+                    compare(at[order[a:b]], rest)
 
-    compare(np.arange(len(fps)), 0)
+    compare(np.arange(len(fps)), list(range(64)))
     return out
 
 
@@ -189,16 +203,23 @@ def linked(fps: DataFrame, most: int = 3, m: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def bucket(fp: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
-            at_home = fp[home]
+            at_home, away = fp[home], fp[~home]
             if len(fp) < 2 or not len(at_home):
                 return []
-            out = [(int(at_home[i]), int(at_home[j])) for i, j in near_links(at_home.view(np.uint64), most)]
-            away = fp[~home]
-            for a in range(0, len(away), 4096):  # a visitor needs a link to one member of each tree only, but all are cheap
-                part = away[a : a + 4096].view(np.uint64)
-                for x in range(0, len(at_home), 4096):
-                    near = np.argwhere(np.bitwise_count(part[:, None] ^ at_home[x : x + 4096].view(np.uint64)) <= most)
-                    out += [(int(away[a + i]), int(at_home[x + j])) for i, j in near]
+            if len(at_home) * len(away) > BRUTE * BRUTE:  # links among visitors are links as well
+                return [(int(fp[i]), int(fp[j])) for i, j in near_links(fp.view(np.uint64), most)]
+            forest = near_links(at_home.view(np.uint64), most)
+            out = [(int(at_home[i]), int(at_home[j])) for i, j in forest]
+            tree = list(range(len(at_home)))
+            for i, j in forest:
+                a, b = tree[i], tree[j]
+                tree = [a if x == b else x for x in tree]
+            near = np.argwhere(np.bitwise_count(away.view(np.uint64)[:, None] ^ at_home.view(np.uint64)) <= most)
+            seen = set()
+            for i, j in near.tolist():
+                if (i, tree[j]) not in seen:  # one link of a visitor to each tree
+                    seen.add((i, tree[j]))
+                    out.append((int(away[i]), int(at_home[j])))
             return out
 
         def links(g: np.ndarray, v: np.ndarray, fp: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
@@ -208,24 +229,33 @@ def linked(fps: DataFrame, most: int = 3, m: int = 3) -> DataFrame:
                 out += bucket(fp[a:b], home[a:b])
             return out
 
-        held = None
-        for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "v", "fp", "home")]
-            if held is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-            g, v = cols[:2]
-            last = np.flatnonzero((v != v[-1]) | (g != g[-1])) if len(v) else np.zeros(0, int)
-            at = int(last[-1]) + 1 if len(last) else 0
-            out, held = links(*(c[:at] for c in cols)), [c[at:] for c in cols]
-            if out:
-                a, z = zip(*out, strict=True)
-                yield batch(arrow("a long, b long"), a=list(a), b=list(z))
-        if held is not None:
-            out = links(*held)
+        def made(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            out = links(*map(np.concatenate, zip(*parts, strict=True))) if parts else []
             if out:
                 a, z = zip(*out, strict=True)
                 yield batch(arrow("a long, b long"), a=list(a), b=list(z))
 
+        held: list[list[np.ndarray]] = []  # the last bucket seen, which may go on
+        for b in batches:
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "v", "fp", "home")]
+            g, v = cols[:2]
+            if not len(v):
+                continue
+            first, last = np.flatnonzero((g != g[0]) | (v != v[0])), np.flatnonzero((v != v[-1]) | (g != g[-1]))
+            if held and (held[-1][0][-1], held[-1][1][-1]) == (g[0], v[0]):
+                at = int(first[0]) if len(first) else len(v)
+                held.append([c[:at] for c in cols])
+                if at == len(v):
+                    continue
+            else:
+                at = 0
+            yield from made(held)
+            end = int(last[-1]) + 1 if len(last) else 0
+            if end > at:
+                yield from made([[c[at:end] for c in cols]])
+            held = [[c[max(at, end) :] for c in cols]]
+        yield from made(held)
+
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -243,10 +273,10 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFra
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """docs without all but one row of each component (doc_id, th, root): that of the least doc_id (null last), then of
-    the least key."""
-    first = groups.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("first")).select(F.col("first.th").alias("_row"))
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    return rows.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    the least key. Rows meet by doc_id and key together."""
+    first = groups.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("first")).select(numbered(F.col("first.doc_id")).alias("_doc"), F.col("first.th").alias("_row"))
+    rows = docs.withColumns({"_doc": numbered(F.col("doc_id")), "_row": F.xxhash64("doc_id", "text")})
+    return rows.join(first, ["_doc", "_row"], "left_semi").dropDuplicates(["_doc", "_row"]).select(*docs.columns)
 
 
 def op7_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:

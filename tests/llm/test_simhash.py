@@ -102,3 +102,28 @@ def test_near_duplicates(spark):
     assert [r.component_id for r in got] == [ids[i] for i in brute_components(fps)]
     assert near_duplicates(table(spark, [])).collect() == []
     assert {(r.doc_id, r.component_id) for r in near_duplicates(table(spark, [None, "", "a"], [None, 4, None])).collect()} == {(None, 4), (4, 4), (None, None)}
+
+
+def test_large_buckets_divide():
+    """Fingerprints that agree in some groups of bits, and links across the size switch, against all pairs."""
+    rng = np.random.default_rng(3)
+    for bits in ([*range(16)], [*range(0, 64, 4)], [*range(40, 64)], [*range(64)]):
+        seeds = rng.integers(0, 1 << 20, 60)
+        fps = {sum(1 << b for b in rng.choice(bits, 8, replace=False).tolist()) ^ int(s) << 20 for s in seeds for _ in range(14)}
+        fps |= {x ^ 1 << int(b) for x in list(fps)[:200] for b in rng.choice(64, 2)}
+        fps = np.array(sorted(fps), np.uint64)
+        assert len(fps) > 256
+        got = near_links(fps, 3)
+        assert all(int(fps[i] ^ fps[j]).bit_count() <= 3 for i, j in got)
+        parent = list(range(len(fps)))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i in range(len(fps)):
+            for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3).tolist():
+                parent[root(j)] = root(i)
+        want = len({root(i) for i in range(len(fps))})
+        assert len(got) == len(fps) - want
