@@ -10,7 +10,7 @@ shortest item is still guaranteed.
 
 Defined results: null and empty texts have no words and are never contaminated; items without words never occur;
 rows with equal doc_id are separate texts; rows with equal item_id count as one item, which occurs if any of them
-does; a null item_id is not reported; an empty benchmark leaves all documents clean; an empty documents table gives
+does; rows with a null item_id are no items; an empty benchmark leaves all documents clean; an empty documents table gives
 an empty result; other columns are kept away.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm.anchors import PART
-from quirelake.llm.common import Scratch, column_bytes, mixed, read, rolled, slices, span_hashes, window_min, word_spans
+from quirelake.llm.common import Scratch, column_bytes, mixed, numbered, read, rolled, slices, span_hashes, window_min, word_spans
 from quirelake.llm.suffix_dedup import arrow, batch
 
 WINDOW = 13
@@ -57,13 +57,15 @@ def fingerprints(hashes: np.ndarray, at: np.ndarray, k: int, shortest: int) -> t
 
 
 def printed(classes: list[tuple[int, int]], own: bool):
-    """Arrow function (id, text) -> (fp, id). classes: (index into CLASSES, shortest item); own: for items, which are
+    """Arrow function (id, text) -> (fp, id), where id is a number or a struct of numbers. classes: (index into CLASSES, shortest item); own: for items, which are
     only in their own class, else for documents, which are in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = column_bytes(b.column(1))
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids = {"id": b.column(0)} if own else {f.name: x for f, x in zip(b.column(0).type, b.column(0).flatten(), strict=True)}
+            schema = arrow("fp long, " + ", ".join(f"{n} long" for n in ids))
+            ids = {n: x.to_numpy(zero_copy_only=False) for n, x in ids.items()}
             for i, j in slices(offs, PART):
                 low, starts, ends, at = split(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 hashes, size = span_hashes(low, starts, ends), np.diff(at)
@@ -75,7 +77,7 @@ def printed(classes: list[tuple[int, int]], own: bool):
                         row, fp = row[keep], fp[keep]
                     if len(fp):
                         pair = np.unique(np.stack([row, mixed(fp + np.uint64(c)).view(np.int64)]), axis=1)
-                        yield batch(arrow("fp long, id long"), fp=pair[1], id=ids[i + pair[0]])
+                        yield batch(schema, fp=pair[1], **{n: x[i + pair[0]] for n, x in ids.items()})
 
     return run
 
@@ -94,8 +96,8 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def hits(text: bytes, items: list[tuple[int, bytes]]) -> tuple[np.ndarray, set[int]]:
-    """(places of words hit, ids of items that occur)."""
+def hits(text: bytes, items: list[tuple[list[int], bytes]]) -> tuple[np.ndarray, set[int]]:
+    """(places of words hit, ids of items that occur); items come with their lists of ids."""
 
     def prepared(x: bytes):
         raw = np.frombuffer(x, np.uint8)
@@ -105,7 +107,7 @@ def hits(text: bytes, items: list[tuple[int, bytes]]) -> tuple[np.ndarray, set[i
 
     words, hashes = prepared(text)
     hit, found, places = np.zeros(len(words), bool), set(), {}
-    for item_id, x in items:
+    for ids, x in items:
         own, own_hashes = prepared(x)
         n = min(WINDOW, len(own))
         if not n or n > len(words):
@@ -121,7 +123,7 @@ def hits(text: bytes, items: list[tuple[int, bytes]]) -> tuple[np.ndarray, set[i
             for p in order[left[i] : right[i]].tolist():
                 if words[p : p + n] == own[i : i + n]:
                     hit[p : p + n] = True
-                    found.add(item_id)
+                    found.update(ids)
     return hit, found
 
 
@@ -132,7 +134,7 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_hit, found = [0] * b.num_rows, [[] for _ in range(b.num_rows)]
         with_items = np.flatnonzero(b.column("items").is_valid().to_numpy(zero_copy_only=False))
         for r in with_items.tolist():
-            hit, ids = hits(data[offs[r] : offs[r + 1]].tobytes(), [(x["item_id"], x["text"]) for x in b.column("items")[r].as_py()])
+            hit, ids = hits(data[offs[r] : offs[r + 1]].tobytes(), [(x["item_ids"], x["text"]) for x in b.column("items")[r].as_py()])
             n_hit[r], found[r] = int(hit.sum()), sorted(ids)
         sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in found]
         bad = [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words.tolist(), strict=True)]
@@ -144,23 +146,25 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of the row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "winnow")
-    # distinct texts are the units of comparison; copies learn the outcome by their text's key
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("th"), F.col("text").cast("binary").alias("text"))
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct().withColumn("id", F.xxhash64("item_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), numbered(F.col("doc_id")).alias("doc"), F.xxhash64("doc_id", "text").alias("th"), F.col("text").cast("binary").alias("text"))
+    # equal item texts are compared once, for all their ids
+    items = benchmark.where("item_id is not null and text is not null").groupBy(F.col("text").cast("binary").alias("text")).agg(F.collect_set(F.col("item_id").cast("long")).alias("item_ids"))
+    items = scratch.save(items.withColumn("item", F.monotonically_increasing_id()), "texts")
     sizes = items.select("text").mapInArrow(counts, "n long").where("n > 0")
     which = F.coalesce(*(F.when((F.col("n") >= a) & (F.col("n") <= (b or 1 << 40)), F.lit(c)) for c, (a, b, _) in enumerate(CLASSES)))
     classes = [(r.c, min(r.least, WINDOW)) for r in sizes.groupBy(which.alias("c")).agg(F.min("n").alias("least")).orderBy("c").collect()]  # at most one row a class
-    item_prints = scratch.save(items.select("id", "text").mapInArrow(printed(classes, True), "fp long, id long").distinct().withColumnRenamed("id", "item"), "items")
-    prints = rows.select("th", "text").mapInArrow(printed(classes, False), "fp long, id long")
-    met = prints.join(item_prints, "fp").select(F.col("id").alias("th"), F.col("item").alias("id")).distinct()
-    met = met.join(items, "id").groupBy("th").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    return rows.join(scratch.save(met, "met"), "th", "left").mapInArrow(judged, RESULT)
+    item_prints = scratch.save(items.select("item", "text").mapInArrow(printed(classes, True), "fp long, id long").distinct().withColumnRenamed("id", "item"), "items")
+    prints = rows.select(F.struct("doc", "th").alias("id"), "text").mapInArrow(printed(classes, False), "fp long, doc long, th long")
+    met = prints.join(item_prints, "fp").select("doc", "th", "item").distinct()
+    met = met.join(items, "item").groupBy("doc", "th").agg(F.collect_list(F.struct("item_ids", "text")).alias("items"))
+    return rows.join(scratch.save(met, "met"), ["doc", "th"], "left").mapInArrow(judged, RESULT)
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated rows."""
-    bad = decontaminated(docs, benchmark).where("contaminated").select(F.col("th").alias("_row")).distinct()
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(bad, "_row", "left_anti").select(*docs.columns)
+    bad = decontaminated(docs, benchmark).where("contaminated").select(numbered(F.col("doc_id")).alias("_doc"), F.col("th").alias("_row")).distinct()
+    rows = docs.withColumns({"_doc": numbered(F.col("doc_id")), "_row": F.xxhash64("doc_id", "text")})
+    return rows.join(bad, ["_doc", "_row"], "left_anti").select(*docs.columns)
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
