@@ -10,8 +10,8 @@
    full and its first source coordinate (document, word) decides.
 
 Defined results: a null text has no words; texts shorter than `width` words lose nothing; a window that starts
-earlier in the same text counts; rows with equal doc_id have equal rank, so neither is earlier than the other,
-while each may repeat itself; a null doc_id comes before all others; an empty table gives an empty result; other
+earlier in the same text counts; rows with equal doc_id rank by a hash of their row, and equal rows have equal rank,
+so neither is earlier than the other, while each may repeat itself; a null doc_id comes before all others; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -26,13 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm import anchors
-from quirelake.llm.common import Scratch, column_bytes, covered, read, slices
+from quirelake.llm.common import Scratch, column_bytes, covered, numbered, read, slices
 from quirelake.llm.suffix_dedup import arrow, batch
 
 K = 4
-NULL_ID = -(1 << 63)
 TOP = np.int64((1 << 63) - 1)  # stands for a second content: the segment may repeat itself
-STATS = "key long, low long, high long, doc long, n long"
+STATS = "key long, low long, high long, doc long, th long, n long"
 PARTS = "kind string, doc_id long, doc long, th long, key long, body long, first long, n int, blob binary, spans array<long>, n_words long, n_removed long, kept_sha256 string"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -51,38 +50,39 @@ def repeated_words(docs: DataFrame, width: int = 20, k: int = K) -> DataFrame:
     if width < k:
         raise ValueError(f"width must be at least {k}")
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("th"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), numbered(F.col("doc_id")).alias("doc"), F.xxhash64("doc_id", "text").alias("th"), F.col("text").cast("binary").alias("text"))
     scratch = Scratch(spark, "paths")
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = column_bytes(b.column(1))
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            data, offs = column_bytes(b.column(2))
+            ids, ths = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for i, j in slices(offs, anchors.PART):
                 _, _, at, hashes = anchors.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 row, key, body, _, _, loop = anchors.word_segments(hashes, at, width, k, loops=True)
                 if len(key):
-                    order = np.argsort(key)
-                    key, body, loop, doc = key[order], body[order], loop[order], ids[i + row[order]]
+                    order = np.lexsort((ths[i + row], ids[i + row], key))  # the first of a key has its least rank
+                    key, body, loop, row = key[order], body[order], loop[order], i + row[order]
                     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                    yield batch(arrow(STATS), key=key[cut], low=np.minimum.reduceat(body, cut), high=np.maximum.reduceat(np.where(loop, TOP, body), cut), doc=np.minimum.reduceat(doc, cut), n=np.add.reduceat(1 + loop, cut))
+                    yield batch(arrow(STATS), key=key[cut], low=np.minimum.reduceat(body, cut), high=np.maximum.reduceat(np.where(loop, TOP, body), cut), doc=ids[row[cut]], th=ths[row[cut]], n=np.add.reduceat(1 + loop, cut))
 
-    nodes = rows.select("doc", "text").mapInArrow(stats, STATS).groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("doc").alias("start"), F.sum("n").alias("n")).where("n > 1")
+    nodes = rows.select("doc", "th", "text").mapInArrow(stats, STATS).groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.struct("doc", "th")).alias("start"), F.sum("n").alias("n")).where("n > 1")
     nodes = scratch.save(nodes.select("key", "start", (F.col("low") != F.col("high")).alias("branches")), "nodes")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = column_bytes(b.column(1))
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            data, offs = column_bytes(b.column(2))
+            ids, ths = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for i, j in slices(offs, anchors.PART):
                 _, _, at, hashes = anchors.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 row, key, _, _, _ = anchors.segments(hashes, at, width, k)
                 if len(key):
                     pair = np.unique(np.stack([row, key]), axis=1)
-                    yield batch(arrow("key long, doc long"), key=pair[1], doc=ids[i + pair[0]])
+                    yield batch(arrow("key long, doc long, th long"), key=pair[1], doc=ids[i + pair[0]], th=ths[i + pair[0]])
 
-    marks = rows.select("doc", "text").mapInArrow(members, "key long, doc long").join(nodes, "key")
-    marks = marks.groupBy("doc").agg(*(F.collect_set(F.when(on, F.col("key"))).alias(name) for name, on in (("later", ~F.col("branches") & (F.col("doc") > F.col("start"))), ("again", ~F.col("branches") & (F.col("doc") == F.col("start"))), ("part", F.col("branches")))))
+    marks = rows.select("doc", "th", "text").mapInArrow(members, "key long, doc long, th long").join(nodes, "key")
+    rank = F.struct("doc", "th")
+    marks = marks.groupBy("doc", "th").agg(*(F.collect_set(F.when(on, F.col("key"))).alias(name) for name, on in (("later", ~F.col("branches") & (rank > F.col("start"))), ("again", ~F.col("branches") & (rank == F.col("start"))), ("part", F.col("branches")))))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow(PARTS)
@@ -107,38 +107,38 @@ def repeated_words(docs: DataFrame, width: int = 20, k: int = K) -> DataFrame:
                 if split:
                     hit = np.flatnonzero(np.isin(key, part[r].values.to_numpy(zero_copy_only=False)))
                     m = len(hit)
-                    yield batch(schema, kind=["text"], doc_id=ids.slice(r, 1), th=ths.slice(r, 1), blob=[raw], spans=[[x for y in spans for x in y]])
+                    yield batch(schema, kind=["text"], doc_id=ids.slice(r, 1), doc=nums.slice(r, 1), th=ths.slice(r, 1), blob=[raw], spans=[[x for y in spans for x in y]])
                     yield batch(schema, kind=["part"] * m, doc=[nums[r].as_py()] * m, th=[ths[r].as_py()] * m, key=key[hit], body=body[hit], first=first[hit], n=count[hit], blob=[b" ".join(words[a : a + c + width - 1]) for a, c in zip(first[hit].tolist(), count[hit].tolist(), strict=True)])
                 else:
                     n, removed, sha = kept_row(words, spans)
                     yield batch(schema, kind=["done"], doc_id=ids.slice(r, 1), n_words=[n], n_removed=[removed], kept_sha256=[sha])
 
-    found = scratch.save(rows.join(marks, "doc", "left").mapInArrow(marked, PARTS), "found", by="kind")
+    found = scratch.save(rows.join(marks, ["doc", "th"], "left").mapInArrow(marked, PARTS), "found", by="kind")
     scratch.drop("nodes")
     part = found.where("kind = 'part'")
-    distinct = part.groupBy("key", "body").agg(F.min(F.struct("doc", "first")).alias("at"), F.first("blob").alias("blob")).select("key", "body", "at.doc", "at.first", "blob")
-    FOLLOWED = "key long, body long, doc long, first long, spans array<long>"
+    distinct = part.groupBy("key", "body").agg(F.min(F.struct("doc", "th", "first")).alias("at"), F.first("blob").alias("blob")).select("key", "body", "at.doc", "at.th", "at.first", "blob")
+    FOLLOWED = "key long, body long, doc long, th long, first long, spans array<long>"
 
     def follow(group: list[tuple]) -> list[tuple]:
         """Windows of the segments of one node that start earlier elsewhere, as places in their segment."""
-        seen: dict[bytes, tuple[int, int]] = {}
+        seen: dict[bytes, tuple[int, int, int]] = {}
         cuts = []
-        for _, _, doc, first, blob in group:
+        for _, _, doc, th, first, blob in group:
             words = blob.split(b" ")
             own = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
             cuts.append(own)
             for i, w in enumerate(own):
-                at = (doc, first + i)
+                at = (doc, th, first + i)
                 if seen.setdefault(w, at) > at:
                     seen[w] = at
         out = []
-        for (key, body, doc, first, _), own in zip(group, cuts, strict=True):
-            late = np.array([i for i, w in enumerate(own) if seen[w] < (doc, first + i)], np.int64)
-            out.append((key, body, doc, first, [v for y in covered(late, late + width) for v in y]))
+        for (key, body, doc, th, first, _), own in zip(group, cuts, strict=True):
+            late = np.array([i for i, w in enumerate(own) if seen[w] < (doc, th, first + i)], np.int64)
+            out.append((key, body, doc, th, first, [v for y in covered(late, late + width) for v in y]))
         return out
 
     def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "body", "doc", "first", "spans")
+        names = ("key", "body", "doc", "th", "first", "spans")
 
         def flush(rows_: list[tuple]) -> pa.RecordBatch:
             return batch(arrow(FOLLOWED), **dict(zip(names, map(list, zip(*rows_, strict=True)), strict=True)))
@@ -146,7 +146,7 @@ def repeated_words(docs: DataFrame, width: int = 20, k: int = K) -> DataFrame:
         group: list[tuple] = []
         out: list[tuple] = []
         for b in batches:
-            for x in zip(*(b.column(c).to_pylist() for c in ("key", "body", "doc", "first", "blob")), strict=True):
+            for x in zip(*(b.column(c).to_pylist() for c in ("key", "body", "doc", "th", "first", "blob")), strict=True):
                 if group and group[-1][0] != x[0]:
                     out += follow(group)
                     group = []
@@ -159,11 +159,11 @@ def repeated_words(docs: DataFrame, width: int = 20, k: int = K) -> DataFrame:
             yield flush(out)
 
     paths = distinct.repartition("key").sortWithinPartitions("key").mapInArrow(followed, FOLLOWED)
-    paths = paths.withColumnsRenamed({"doc": "doc0", "first": "first0"})
-    lead = (F.col("doc") == F.col("doc0")) & (F.col("first") == F.col("first0"))
+    paths = paths.withColumnsRenamed({"doc": "doc0", "th": "th0", "first": "first0"})
+    lead = (F.col("doc") == F.col("doc0")) & (F.col("th") == F.col("th0")) & (F.col("first") == F.col("first0"))
     whole = F.array(F.lit(0).cast("long"), (F.col("n") + width - 1).cast("long"))
-    lists = part.select("doc", "th", "key", "body", "first", "n").join(paths, ["key", "body"]).select("th", F.transform(F.when(lead, F.col("spans")).otherwise(whole), lambda x: x + F.col("first")).alias("spans"))
-    lists = lists.groupBy("th").agg(F.flatten(F.collect_list("spans")).alias("more"))
+    lists = part.select("doc", "th", "key", "body", "first", "n").join(paths, ["key", "body"]).select("doc", "th", F.transform(F.when(lead, F.col("spans")).otherwise(whole), lambda x: x + F.col("first")).alias("spans"))
+    lists = lists.groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("more"))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,7 +174,7 @@ def repeated_words(docs: DataFrame, width: int = 20, k: int = K) -> DataFrame:
             n, removed, sha = zip(*out, strict=True) if out else ((), (), ())
             yield batch(arrow(RESULT), doc_id=b.column("doc_id"), n_words=list(n), n_removed=list(removed), kept_sha256=list(sha))
 
-    rest = found.where("kind = 'text'").select("doc_id", "th", "blob", "spans").join(lists, "th", "left").mapInArrow(finished, RESULT)
+    rest = found.where("kind = 'text'").select("doc_id", "doc", "th", "blob", "spans").join(lists, ["doc", "th"], "left").mapInArrow(finished, RESULT)
     done = found.where("kind = 'done'").select("doc_id", "n_words", "n_removed", "kept_sha256")
     return done.unionByName(scratch.save(rest, "rest"))
 

@@ -36,3 +36,14 @@ def test_edges(spark):
     assert sorted((r.doc_id is None, r.n_words, r.n_removed) for r in got) == [(False, 0, 0), (False, 1, 0), (False, 25, 25), (True, 25, 0)]
     again = repeated_words(table(spark, [long + " " + long])).first()
     assert (again.n_words, again.n_removed) == (50, 25)
+
+
+def test_rows_of_equal_id_rank_by_row(spark):
+    """Whether the passage's surroundings differ (its node branches) or not, one of the rows keeps it."""
+    line = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    both = [line("w", 25), line("a", 9) + " " + line("w", 25) + " " + line("b", 9)]
+    for texts in (both, [*both, line("w", 25) + " z"], [line("w", 25)] * 2):
+        got = repeated_words(table(spark, texts, [5] * len(texts))).collect()
+        assert sorted(r.n_removed for r in got) == ([0, 0] if texts[0] == texts[1] else [0, *[25] * (len(texts) - 1)])
+    long = line("w", 25) + " "
+    assert [r.n_removed for r in repeated_words(table(spark, [long * 40_000, long], [1, 2])).orderBy("doc_id").collect()] == [25 * 39_999, 25]
