@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm import anchors
-from quirelake.llm.common import Scratch, column_bytes, covered, read, slices
+from quirelake.llm.common import Scratch, column_bytes, covered, numbered, read, slices
 from quirelake.llm.suffixes import repeated_starts
 
 K = 32
@@ -34,13 +34,13 @@ SHARD_BYTES = 2 << 20
 
 TOP = np.int64((1 << 63) - 1)  # stands for a second content: the segment may repeat itself
 STATS = "key long, low long, high long, n long"
-PARTS = "kind string, doc_id long, th long, key long, body long, first int, n int, blob binary, spans array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+PARTS = "kind string, doc_id long, doc long, th long, key long, body long, first int, n int, blob binary, spans array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, a key of the row, and the text as bytes."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("th"), F.col("text").cast("binary").alias("text"))
+    """doc_id, a key of the row in two numbers, and the text as bytes."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), numbered(F.col("doc_id")).alias("doc"), F.xxhash64("doc_id", "text").alias("th"), F.col("text").cast("binary").alias("text"))
 
 
 def batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
@@ -86,16 +86,16 @@ def repeated_bytes(docs: DataFrame, length: int = 200, k: int = K, shard_bytes:
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = column_bytes(b.column(1))
-            th = b.column(0).to_numpy(zero_copy_only=False)
+            data, offs = column_bytes(b.column(2))
+            doc, th = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for i, j in slices(offs, anchors.PART):
                 row, key, _, _, _ = anchors.segments(anchors.BYTES[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], length, k)
                 if len(key):
                     pair = np.unique(np.stack([row, key]), axis=1)
-                    yield batch(arrow("key long, th long"), key=pair[1], th=th[i + pair[0]])
+                    yield batch(arrow("key long, doc long, th long"), key=pair[1], doc=doc[i + pair[0]], th=th[i + pair[0]])
 
-    marks = rows.select("th", "text").mapInArrow(members, "key long, th long").join(keys, "key")
-    marks = marks.groupBy("th").agg(F.collect_set(F.when(~F.col("mixed"), F.col("key"))).alias("whole"), F.collect_set(F.when(F.col("mixed"), F.col("key"))).alias("part"))
+    marks = rows.select("doc", "th", "text").mapInArrow(members, "key long, doc long, th long").join(keys, "key")
+    marks = marks.groupBy("doc", "th").agg(F.collect_set(F.when(~F.col("mixed"), F.col("key"))).alias("whole"), F.collect_set(F.when(F.col("mixed"), F.col("key"))).alias("part"))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow(PARTS)
@@ -103,7 +103,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, k: int = K, shard_bytes:
             data, offs = column_bytes(b.column("text"))
             for i, j in slices(offs, anchors.PART):
                 own, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                cols = {c: b.column(c).slice(i, j - i) for c in ("doc_id", "th", "whole", "part")}
+                cols = {c: b.column(c).slice(i, j - i) for c in ("doc_id", "doc", "th", "whole", "part")}
                 row, key, first, count, _ = anchors.segments(anchors.BYTES[own], at, length, k)
                 hit = anchors.flagged(row, key, cols["whole"])
                 spans = anchors.unions(row[hit], (first - at[row])[hit], (first - at[row] + count)[hit] + length - 1, j - i)
@@ -112,16 +112,16 @@ def repeated_bytes(docs: DataFrame, length: int = 200, k: int = K, shard_bytes:
                 with_part[row[split]] = True
                 if len(split):
                     texts = [raw[a:e] for a, e in zip(first[split].tolist(), (first + count)[split] + length - 1, strict=True)]
-                    th = cols["th"].to_numpy(zero_copy_only=False)
-                    yield batch(schema, kind=["part"] * len(split), th=th[row[split]], key=key[split], body=np.array([anchors.body_hash(x) for x in texts], np.uint64).view(np.int64), first=(first - at[row])[split], n=count[split], blob=texts)
+                    doc, th = (cols[c].to_numpy(zero_copy_only=False) for c in ("doc", "th"))
+                    yield batch(schema, kind=["part"] * len(split), doc=doc[row[split]], th=th[row[split]], key=key[split], body=np.array([anchors.body_hash(x) for x in texts], np.uint64).view(np.int64), first=(first - at[row])[split], n=count[split], blob=texts)
                     kept = np.flatnonzero(with_part)
-                    yield batch(schema, kind=["text"] * len(kept), doc_id=cols["doc_id"].take(pa.array(kept)), th=th[kept], blob=[raw[at[r] : at[r + 1]] for r in kept], spans=[[x for y in spans[r] for x in y] for r in kept])
+                    yield batch(schema, kind=["text"] * len(kept), doc_id=cols["doc_id"].take(pa.array(kept)), doc=doc[kept], th=th[kept], blob=[raw[at[r] : at[r + 1]] for r in kept], spans=[[x for y in spans[r] for x in y] for r in kept])
                 done = np.flatnonzero(~with_part)
                 if len(done):
                     n, removed, runs, sha = zip(*(kept_row(raw[at[r] : at[r + 1]], spans[r]) for r in done.tolist()), strict=True)
                     yield batch(schema, kind=["done"] * len(done), doc_id=cols["doc_id"].take(pa.array(done)), n_bytes=list(n), n_removed=list(removed), n_spans=list(runs), kept_sha256=list(sha))
 
-    found = scratch.save(rows.join(marks, "th", "left").mapInArrow(marked, PARTS), "found", by="kind")
+    found = scratch.save(rows.join(marks, ["doc", "th"], "left").mapInArrow(marked, PARTS), "found", by="kind")
     scratch.drop("keys")
     part = found.where("kind = 'part'")
     distinct = part.groupBy("key", "body").agg(F.count("*").alias("n"), F.first("blob").alias("blob"))
@@ -158,8 +158,8 @@ def repeated_bytes(docs: DataFrame, length: int = 200, k: int = K, shard_bytes:
             yield sort_shard(*map(list, zip(*held, strict=True)))
 
     sorted_ = distinct.repartition("key").sortWithinPartitions("key").mapInArrow(shards, "key long, body long, spans array<long>")
-    lists = part.select("th", "key", "body", "first").join(sorted_, ["key", "body"])
-    lists = lists.select("th", F.transform("spans", lambda x: x + F.col("first")).alias("spans")).groupBy("th").agg(F.flatten(F.collect_list("spans")).alias("more"))
+    lists = part.select("doc", "th", "key", "body", "first").join(sorted_, ["key", "body"])
+    lists = lists.select("doc", "th", F.transform("spans", lambda x: x + F.col("first")).alias("spans")).groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("more"))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +170,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, k: int = K, shard_bytes:
             n, removed, runs, sha = zip(*out, strict=True) if out else ((), (), (), ())
             yield batch(arrow(RESULT), doc_id=b.column("doc_id"), n_bytes=list(n), n_removed=list(removed), n_spans=list(runs), kept_sha256=list(sha))
 
-    rest = found.where("kind = 'text'").select("doc_id", "th", "blob", "spans").join(lists, "th", "left").mapInArrow(finished, RESULT)
+    rest = found.where("kind = 'text'").select("doc_id", "doc", "th", "blob", "spans").join(lists, ["doc", "th"], "left").mapInArrow(finished, RESULT)
     done = found.where("kind = 'done'").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     return done.unionByName(scratch.save(rest, "rest"))
 

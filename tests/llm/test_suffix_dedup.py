@@ -52,3 +52,9 @@ def test_edges(spark):
     assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in got) == [(0, 0, 0), (0, 0, 0), (199, 0, 0), (200, 0, 0), (201, 201, 1)]
     twice = repeated_bytes(table(spark, ["z" * 50 + "k" * 200] * 2, ids=[3, 3])).collect()
     assert [(r.doc_id, r.n_removed) for r in twice] == [(3, 250)] * 2
+
+
+def test_very_long_text(spark):
+    unit = "".join(chr(97 + i * i % 26) + str(i) for i in range(100))
+    rows = repeated_bytes(table(spark, [unit * 3000, "é" * 90, unit, None], [3, 2, 1, 1])).orderBy("doc_id", "n_bytes").collect()
+    assert [(r.n_bytes, r.n_removed) for r in rows] == [(0, 0), (len(unit), len(unit)), (180, 0), (3000 * len(unit), 3000 * len(unit))]
