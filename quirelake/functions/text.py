@@ -70,7 +70,7 @@ def is_meta(c: Column) -> Column:
 
 def is_author_note(c: Column) -> Column:
     """At least half of a note's lines are addresses, and none is numbered."""
-    ls = F.filter(F.transform(F.split(F.lower(plain(c)), "\n", -1), F.trim), lambda x: x != "")
+    ls = F.filter(F.transform(F.split(F.lower(plain(c)), "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     return ~F.exists(ls, lambda x: F.regexp_like(x, F.lit(r"^[0-9]+[.)]\s*"))) & (F.size(ls) > 0) & (2 * F.size(F.filter(ls, lambda x: either(x, AUTHOR_NOTE))) >= F.size(ls))
 
 
@@ -206,7 +206,7 @@ def paragraph_key(c: Column) -> Column:
 
 def paragraphs(c: Column) -> Column:
     """Paragraphs of a text without headings."""
-    return F.filter(F.transform(F.split(plain(c), r"\n\s*\n+", -1), F.trim), lambda p: (p != "") & ~F.startswith(p, F.lit("#")))
+    return F.filter(F.transform(F.split(plain(c), r"\n\s*\n+", -1), lambda x: F.trim(x)), lambda p: (p != "") & ~F.startswith(p, F.lit("#")))
 
 
 def lacks_tail(c: Column) -> Column:
@@ -245,7 +245,8 @@ def thawed(c: Column, endnotes_as_carets: bool = False) -> Column:
 
 def note_refs(c: Column) -> Column:
     """Distinct ids of protected tokens and visible references, in order."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(r"\{\{NOTE_REF:([^}]+)\}\}|\[\^([^\]]+)\]"), F.lit(1)), lambda x: x != ""))
+    hits = F.regexp_extract_all(c, F.lit(r"\{\{NOTE_REF:[^}]+\}\}|\[\^[^\]]+\]"), F.lit(0))
+    return F.array_distinct(F.transform(hits, lambda x: F.regexp_extract(x, r"^(?:\{\{NOTE_REF:|\[\^)([^}\]]+)", 1)))
 
 
 def garble_stats(c: Column) -> Column:
