@@ -1,7 +1,7 @@
 """Line-first cleaning with DataFrame functions only.
 
 Every line is judged by itself: navigation bars, symbol and exclamation noise, shouting, the same few words over and
-over, and boilerplate phrases in short lines. Failing lines are removed, and a document that loses more than half
+over, and boilerplate phrases, as whole words, in short lines. Failing lines are removed, and a document that loses more than half
 of its words is rejected; so are documents that fail the base rules on length and repetition.
 
 No step shuffles: all rules are array and string functions on one row. Repeated 3-word windows are found by sorting
@@ -10,7 +10,8 @@ are then compared as text, so the count is exact. Texts of up to 2**28 words are
 exceed by much; a longer one fails loudly.
 
 Defined results: a null text has no lines and no words, and fails the base rules; lines without a word are neither
-counted nor judged; an empty table gives an empty result; other columns are kept away.
+counted nor judged; rows are judged by themselves, equal ones alike; an empty table gives an empty result; other
+columns are kept away.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from quirelake.llm.common import read
 BLANK = "[\\x20\\x09-\\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-PHRASES = "cookie|privacy policy|terms of use|terms of service|all rights reserved|javascript|click here|sign in|log in|subscribe|lorem ipsum|read more|share this"
+PHRASES = "cookies?|privacy policy|terms of use|terms of service|all rights reserved|javascript|click here|sign in|log in|subscribe|lorem ipsum|read more|share this"
+WHOLE = f"(^|[^a-z0-9])({PHRASES})([^a-z0-9]|$)"  # phrases count as whole words only
 PLACE_BITS = 28
 MIN_WORDS = 50
 
@@ -72,7 +74,7 @@ def line_passes(line: Column) -> Column:
         letters = F.char_length(F.regexp_replace(line, "\\P{L}", ""))
         shouting = (n >= 5) & (2 * F.char_length(F.regexp_replace(line, "\\P{Lu}", "")) > letters)
         repeating = (n >= 10) & (4 * F.size(F.array_distinct(w)) < n)
-        boilerplate = (n <= 12) & F.regexp_like(F.lower(line), F.lit(PHRASES))
+        boilerplate = (n <= 12) & F.regexp_like(F.lower(line), F.lit(WHOLE))
         return ~(navigation | punctuation | shouting | repeating | boilerplate)
 
     return let(words(line), judged)
@@ -116,7 +118,7 @@ g as (select *, list_filter(ls, lambda l: not (
     or 3 * (length(l) - length(replace(l, '!', ''))) > len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))
     or (len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) >= 5 and 2 * length(regexp_replace(l, '[^\p{{Lu}}]', '', 'g')) > length(regexp_replace(l, '[^\p{{L}}]', '', 'g')))
     or (len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) >= 10 and 4 * len(list_distinct(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) < len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')))
-    or (len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) <= 12 and regexp_matches(lower(l), '{PHRASES}')))) as good from w),
+    or (len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) <= 12 and regexp_matches(lower(l), '{WHOLE}')))) as good from w),
 tri as (select r, p, count(*) over (partition by r, k) as c from (select r, unnest(range(len(w) - 2)) as p, unnest([concat_ws(' ', w[i + 1], w[i + 2], w[i + 3]) for i in range(len(w) - 2)]) as k
   from (select row_number() over () as r, w from g) where len(w) >= 3)),
 rep as (select r, count(distinct p + o) as n from tri, range(3) as x(o) where c > 1 group by r),

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.llm.line_rules import cleaned, repeat_words
+from quirelake.llm.line_rules import cleaned, line_passes, repeat_words
 from tests.llm.helpers import DOCS, copies, table
 
 
@@ -54,3 +54,14 @@ def test_clean_labelled_documents_stay(spark):
     got = cleaned(docs).join(labels, "doc_id").where("n_words >= 50").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     kept = {r.quality: r.kept for r in got}
     assert kept[1] >= 0.98 and kept[0] <= 0.25
+
+
+def test_phrases_are_whole_words(spark):
+    lines = ["They design in small teams", "the catalog in use is old", "Please sign in now", "Log in: here", "cookies"]
+    passed = spark.createDataFrame([(x,) for x in lines], "l string").select(line_passes(F.col("l")).alias("p")).collect()
+    assert [r.p for r in passed] == [True, True, False, False, False]
+
+
+def test_repeated_rows(spark):
+    rows = cleaned(table(spark, ["one two three\n" * 30] * 2 + [None], [1, 1, 1])).collect()
+    assert len(rows) == 3 and rows[0][:6] == rows[1][:6]
