@@ -40,6 +40,8 @@ from quirelake.llm.suffix_dedup import arrow, batch
 MARK = "▁"
 CHUNK = 1 << 16
 KEPT = 100_000  # most runs whose pieces a worker keeps
+KEPT_BYTES = 64 << 20  # and about how many bytes of them
+LONGEST_KEPT = 256  # longer runs are not kept
 LONG_RUN = 64  # longer runs are not given to the library
 NEVER = -(1 << 60)
 RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -224,18 +226,24 @@ class Merges(Vocabulary):
 
         if proto.trainer_spec.model_type != 2:
             raise ValueError("only BPE models")
+        self.held, self.long = 0, []
         self.met = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         proto.normalizer_spec.add_dummy_prefix = False  # runs come with their marks
         return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
     def known(self, runs: list[str]) -> dict[str, bytes]:
-        new = set(runs) - self.store.keys()
-        if len(self.store) + len(new) > self.most:
+        """The ids of each distinct run. What stays in the store between portions is bounded in number and bytes."""
+        distinct = set(runs)
+        if len(self.store) + len(distinct) > self.most or self.held > KEPT_BYTES:
             self.store.clear()
-            new = set(runs)
-        new = list(new)
+            self.held = 0
+        for r in self.long:
+            self.store.pop(r, None)
+        new = list(distinct - self.store.keys())
         for r, ids in zip(new, self.library.encode(new, num_threads=1), strict=True):
             self.store[r] = np.array(ids, "<u4").tobytes()
+            self.held += len(r) + len(self.store[r]) + 150
+        self.long = [r for r in new if len(r) > LONGEST_KEPT]
         return self.store
 
     def cuts(self, text: str, chunk: int) -> list[int]:

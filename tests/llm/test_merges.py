@@ -38,3 +38,15 @@ def test_query_and_stage(spark):
     made = {r.doc_id: (r.n_pieces, r.ids_crc32) for r in piece_scan.op8_piece_scan(spark, sf).collect()}
     assert made == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
     assert {r.doc_id: list(r.ids) for r in corpus_pipeline.tokenise(spark, docs, sf).collect()} == want
+
+
+def test_store_is_bounded_and_long_texts_agree(spark, monkeypatch):
+    monkeypatch.setattr(piece_scan, "KEPT_BYTES", 5_000)
+    v = Merges(model_path())
+    texts = ["é漢" * 300, "one two three " * 50, "漢" * 700, "=" * 600] * 2
+    for _ in range(3):
+        assert [x.tolist() for x in v.encode_all(texts)] == LIBRARY.encode(texts)
+        assert all(len(r) <= 256 or r in v.long for r in v.store)
+    giant = "It is a long text of words. " * 8_000  # beyond two chunks of the real size
+    rows = encoded(table(spark, [giant, giant]), model_path(), merges=True, decode=True).collect()
+    assert [list(r.ids) for r in rows] == [LIBRARY.encode(giant)] * 2 and rows[0].text == giant
