@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirelake.plans import contents, documents, gates, linking, links, matching, pagetexts, paragraphs, references, scalars, states, toc
+from quirelake.plans import contents, documents, gates, linking, links, matching, pagetexts, paragraphs, references, scalars, states, toc, work
 
-PARTS = (scalars, links, documents, states, toc, paragraphs, gates, matching, references, contents, linking, pagetexts)
+PARTS = (scalars, links, documents, states, toc, paragraphs, gates, matching, references, contents, linking, pagetexts, work)
 QUERIES: dict = {name: f for p in PARTS for name, f in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: s for p in PARTS for name, s in p.ORACLE_SQL.items()}
 FLAGSHIP = "note_link_summary"
