@@ -23,7 +23,7 @@ from quirelake.llm.common import read
 
 # White space of the word rule, noise symbols, boilerplate phrases.
 BLANK = "[\\x20\\x09-\\x0D]+"
-BLANK_CHARS = " \t\n\x0b\x0c\r"
+WORD = "[^\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
 PHRASES = "cookies?|privacy policy|terms of use|terms of service|all rights reserved|javascript|click here|sign in|log in|subscribe|lorem ipsum|read more|share this"
 WHOLE = f"(^|[^a-z0-9])({PHRASES})([^a-z0-9]|$)"  # phrases count as whole words only
@@ -41,7 +41,8 @@ def words(text: Column) -> Column:
 
 
 def count_of(text: Column, chars: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+    """How many of these characters a text has."""
+    return F.regexp_count(text, F.lit("[" + chars.replace("|", "\\|") + "]"))
 
 
 def repeat_words(w: Column) -> Column:
@@ -69,13 +70,17 @@ def line_passes(line: Column) -> Column:
 
     def judged(w: Column) -> Column:
         n = F.size(w)
+        marked = F.regexp_like(line, F.lit("[|»›!#*$%&<>]"))  # few lines have any, and only they are counted
         navigation = (count_of(line, "|") >= 3) | (count_of(line, "»›") >= 2)
         punctuation = (3 * count_of(line, SYMBOLS) > n) | (3 * count_of(line, "!") > n)
         letters = F.char_length(F.regexp_replace(line, "\\P{L}", ""))
-        shouting = (n >= 5) & (2 * F.char_length(F.regexp_replace(line, "\\P{Lu}", "")) > letters)
+        capitals = 2 * F.char_length(F.regexp_replace(line, "\\P{Lu}", "")) > letters
+        # with more than half capitals, two stand with at most one letter between them, or there is one letter only
+        close = F.regexp_like(line, F.lit(r"\p{Lu}\P{L}*+(?:\p{L}\P{L}*+)?\p{Lu}|^\P{L}*+\p{Lu}\P{L}*+$"))
+        shouting = (n >= 5) & close & capitals
         repeating = (n >= 10) & (4 * F.size(F.array_distinct(w)) < n)
         boilerplate = (n <= 12) & F.regexp_like(F.lower(line), F.lit(WHOLE))
-        return ~(navigation | punctuation | shouting | repeating | boilerplate)
+        return ~((marked & (navigation | punctuation)) | shouting | repeating | boilerplate)
 
     return let(words(line), judged)
 
@@ -83,16 +88,16 @@ def line_passes(line: Column) -> Column:
 def cleaned(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
     """doc_id, the base counts, the cleaned text, the verdict and its parts; one row per row of docs."""
     d = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, BLANK_CHARS, "") != "")
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.regexp_like(x, F.lit(WORD)))
     stats = let(lines, lambda a: F.struct((F.size(a) - F.size(F.array_distinct(a))).alias("n_dup_lines"), F.filter(a, line_passes).alias("good")))
-    counts = let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), repeat_words(w).alias("n_repeat_words")))
+    counts = let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), repeat_words(w).alias("n_repeat_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars")))
     d = d.select("doc_id", "text", stats.alias("s"), counts.alias("c"))
     clean = F.array_join("s.good", "\n")
     n, r = F.col("c.n_words").cast("long"), F.col("c.n_repeat_words").cast("long")
     d = d.select(
         "doc_id",
         n.alias("n_words"),
-        F.char_length(F.translate("text", BLANK_CHARS, "")).cast("long").alias("word_chars"),
+        F.col("c.word_chars").alias("word_chars"),
         count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         F.col("s.n_dup_lines").cast("long").alias("n_dup_lines"),
         r.alias("n_repeat_words"),
