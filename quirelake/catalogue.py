@@ -19,6 +19,14 @@ _COUNTS = {
     "retry_summary": "failed manual",
     "toc_role_counts": "chapters sections entries",
     "titles_alike": "repeated mixed",
+    "repeatable_paragraphs": "can_repeat",
+    "toc_offset_summary": "navigable ready unresolved",
+    "endnote_streams": 'own page prior "first"',
+    "chapter_bindings": "unassigned_items",
+    "region_alignment": "aligned",
+    "marker_origin_counts": "explicit synthetic uncertain repaired",
+    "segment_states": "manual failed",
+    "export_drift": "added removed changed",
 }
 for _name, _columns in _COUNTS.items():
     _casts = ", ".join(f"{c}::bigint as {c}" for c in _columns.split())

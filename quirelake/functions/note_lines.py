@@ -59,15 +59,25 @@ def number_token(c: Column) -> Column:
 def numbered_line(c: Column) -> Column:
     """struct(number, marker, body) of a line that begins with a note number; null for any other. A stray mark before
     the number goes, digits torn apart join, a bare year is no number."""
-    t = normal_line(c)
-    t = F.when(F.regexp_like(t, F.lit(NOISE)), F.regexp_extract(t, NOISE, 1)).otherwise(t)
-    torn, torn_rest = number_token(F.regexp_extract(t, SPLIT_NUMBER, 1)), F.trim(F.regexp_extract(t, SPLIT_NUMBER, 2))
-    part = lambda i: F.regexp_extract(t, NUMBERED, i)
-    number = F.concat(part(1), part(2), part(3)).try_cast("int")
-    year = (part(3) != "") & number.between(1900, 2100)
-    plain = F.struct(number.alias("number"), F.when(part(1) != "", F.concat(F.lit("["), part(1).cast("int").cast("string"), F.lit("]"))).otherwise(F.concat(number.cast("string"), F.lit("."))).alias("marker"), F.trim(part(4)).alias("body"))
-    split = F.struct(torn.alias("number"), F.concat(torn.cast("string"), F.lit(".")).alias("marker"), torn_rest.alias("body"))
-    return F.when(torn.isNotNull() & (torn_rest != ""), split).when(number.isNotNull() & ~year, plain)
+
+    def read(t: Column) -> Column:
+        def torn(x: Column) -> Column:
+            return F.when(x["n"].isNotNull() & (x["rest"] != ""), F.struct(x["n"].alias("number"), F.concat(x["n"].cast("string"), F.lit(".")).alias("marker"), x["rest"].alias("body")))
+
+        def plain(x: Column) -> Column:
+            n = F.concat(x["a"], x["b"], x["c"]).try_cast("int")
+            marker = F.when(x["a"] != "", F.concat(F.lit("["), n.cast("string"), F.lit("]"))).otherwise(F.concat(n.cast("string"), F.lit(".")))
+            return F.when(n.isNotNull() & ~((x["c"] != "") & n.between(1900, 2100)), F.struct(n.alias("number"), marker.alias("marker"), F.trim(x["rest"]).alias("body")))
+
+        split = F.struct(number_token(F.regexp_extract(t, SPLIT_NUMBER, 1)).alias("n"), F.trim(F.regexp_extract(t, SPLIT_NUMBER, 2)).alias("rest"))
+        parts = F.struct(*(F.regexp_extract(t, NUMBERED, i).alias(name) for i, name in enumerate(("a", "b", "c", "rest"), 1)))
+        return F.coalesce(T.let(split, torn), T.let(parts, plain))
+
+    def cleaned(t: Column) -> Column:
+        return F.when(F.regexp_like(t, F.lit(NOISE)), F.regexp_extract(t, NOISE, 1)).otherwise(t)
+
+    # only a line with a digit near its start can begin with a number
+    return F.when(F.regexp_like(T.plain(c), F.lit(r"^.{0,8}?[0-9]")), T.let(normal_line(c), lambda t: T.let(cleaned(t), read)))
 
 
 def embedded_line(c: Column) -> Column:
@@ -96,13 +106,16 @@ def only_marker(c: Column) -> Column:
     return number_token(F.concat(F.regexp_extract(t, ONLY_MARKER, 1), F.regexp_extract(t, ONLY_MARKER, 2)))
 
 
-def lost_note(c: Column) -> Column:
-    """Whether a line looks like a note whose number was not read: noise marks, runs of capitals, or a misread ibid."""
-    t = normal_line(c)
-    compact = F.regexp_replace(F.lower(t), "[^a-z0-9]+", "")
-    noise = F.char_length(t) - F.char_length(F.translate(t, "^[]\\|/_", ""))
-    hints = F.regexp_like(compact, F.lit("[iyjl]bid")) | (noise >= 2) | (F.regexp_count(t, F.lit("[A-Z]{3,}")) >= 2)
-    return numbered_line(t).isNull() & only_marker(t).isNull() & (F.char_length(compact) >= 4) & hints
+def lost_note(c: Column, read: Column | None = None) -> Column:
+    """Whether a line looks like a note whose number was not read: noise marks, runs of capitals, or a misread ibid. read:
+    its numbered_line(), where that is known."""
+
+    def hints(x: Column) -> Column:
+        noise = F.regexp_count(x["t"], F.lit(r"[\^\[\]\\|/_]")) >= 2
+        return (F.char_length(x["low"]) >= 4) & (F.regexp_like(x["low"], F.lit("[iyjl]bid")) | noise | (F.regexp_count(x["t"], F.lit("[A-Z]{3,}")) >= 2))
+
+    both = lambda t: T.let(F.struct(t.alias("t"), F.regexp_replace(F.lower(t), "[^a-z0-9]+", "").alias("low")), hints)
+    return (numbered_line(c) if read is None else read).isNull() & only_marker(c).isNull() & T.let(normal_line(c), both)
 
 
 def noisy_next(c: Column) -> Column:
@@ -117,32 +130,35 @@ def is_complete(c: Column) -> Column:
     return F.right(normal_line(c), F.lit(1)).isin(*CLOSERS)
 
 
-def is_title_line(c: Column) -> Column:
-    """A line that can head a section of notes."""
-    t = normal_line(c)
-    letters = F.char_length(F.regexp_replace(t, r"\P{L}", ""))
-    short = (F.char_length(t) <= 120) & ~F.regexp_like(t, F.lit(r"[.!?。！？]\s*$")) & (letters >= F.greatest(F.lit(4), F.floor(F.char_length(t) / 3)))
-    return (t != "") & ~is_heading_of_notes(t) & numbered_line(t).isNull() & (F.regexp_like(F.lower(t), F.lit(TITLE_START)) | short)
+def is_title_line(c: Column, read: Column | None = None) -> Column:
+    """A line that can head a section of notes. read: its numbered_line(), where that is known."""
+
+    def looks(t: Column) -> Column:
+        letters = F.char_length(F.regexp_replace(t, r"\P{L}", ""))
+        short = (F.char_length(t) <= 120) & ~F.regexp_like(t, F.lit(r"[.!?。！？]\s*$")) & (letters >= F.greatest(F.lit(4), F.floor(F.char_length(t) / 3)))
+        return (t != "") & (F.regexp_like(F.lower(t), F.lit(TITLE_START)) | short) & ~is_heading_of_notes(t)
+
+    return (numbered_line(c) if read is None else read).isNull() & T.let(normal_line(c), looks)
 
 
 def broken_lines(c: Column) -> Column:
     """A text's lines, not empty, in normal form; a line also ends before a number that follows a sentence's end, unless a
     citation word stands before it."""
     before = "|".join(rf"(?<![0-9A-Za-zÀ-ÿ_]){w}" for w in CITATION_WORDS)
-    broken = F.regexp_replace(T.plain(c), rf"(?i)(?<!(?:{before})\.)(?<=[.\])»”])\s+(?=(?:[0-9][\s,.-]*){{1,4}}[.,)、\]])", "\n")
+    broken = F.regexp_replace(T.plain(c), rf"(?i)(?<=[.\])»”])\s+(?=(?:[0-9][\s,.-]*){{1,4}}[.,)、\]])(?<!(?:{before})\.\s{{1,9}})", "\n")
     return F.filter(F.transform(F.split(broken, "\n", -1), normal_line), lambda x: x != "")
 
 
 def classified(lines: Column) -> Column:
-    """array<struct> of what each line is, for the fold over a page."""
+    """array<struct> of what each line is, for the fold over a page. Lines come in normal form."""
 
-    def one(x: Column) -> Column:
+    def one(x: Column, read: Column) -> Column:
         return F.struct(
-            x.alias("line"), numbered_line(x).alias("numbered"), embedded_line(x).alias("embedded"), symbol_line(x).alias("symbol"), only_marker(x).alias("only"),
-            lost_note(x).alias("lost"), F.regexp_like(F.lower(x), F.lit(NOTES_HEADING)).alias("bare_heading"), is_heading_of_notes(x).alias("heading"), is_title_line(x).alias("title"),
+            x.alias("line"), read.alias("numbered"), embedded_line(x).alias("embedded"), symbol_line(x).alias("symbol"), only_marker(x).alias("only"),
+            lost_note(x, read).alias("lost"), F.regexp_like(F.lower(x), F.lit(NOTES_HEADING)).alias("bare_heading"), is_heading_of_notes(x).alias("heading"), is_title_line(x, read).alias("title"),
         )
 
-    return F.transform(lines, one)
+    return F.transform(lines, lambda x: T.let(numbered_line(x), lambda read: one(x, read)))
 
 
 def joined_unique(texts: Column, mark: str = "\n") -> Column:

@@ -30,6 +30,11 @@ def either(c: Column, patterns) -> Column:
     return reduce(lambda a, b: a | b, (F.regexp_like(c, F.lit(p)) for p in patterns))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also inside lambdas, where Spark shares no common parts."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def plain(c: Column) -> Column:
     """Null as empty."""
     return F.coalesce(c, F.lit(""))

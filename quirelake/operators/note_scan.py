@@ -10,9 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quirelake.functions import note_lines as L
 
@@ -236,38 +238,38 @@ def note_scans(pages: DataFrame, reviewer=None) -> DataFrame:
         "book", "page_no", L.classified(F.col("lines")).alias("lines"), L.classified(F.col("loose")).alias("loose"), F.transform("blocks", L.classified).alias("blocks"),
         L.is_picture_list(F.col("lines"), F.col("top_before")).alias("pictures"), (F.coalesce("notes_before", F.lit(False)) | F.coalesce("notes_after", F.lit(False))).alias("beside_notes"),
     )
-    plain = lambda x: x.asDict(True) if hasattr(x, "asDict") else x
     names = ["page_kind", "items", "section_hints", "ambiguity_flags", "note_start"]
+    first = f"book string, page_no int, {SCAN}".rpartition(",")[0]
+    shapes = [to_arrow_schema(StructType.fromDDL(x)) for x in (first, f"book string, page_no int, {SCAN}")]
 
-    def endnotes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            scans = [endnote_scan([plain(x) for x in r.lines], bool(r.pictures), len(r.blocks) > 0, bool(r.beside_notes)) for r in p.itertuples(index=False)]
-            out = p[["book", "page_no"]].copy()
-            for n in names:
-                out[n] = pd.Series([s[n] for s in scans], index=p.index, dtype="Int32" if n == "note_start" else object)
-            yield out
+    def endnotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows_ = [{"book": r["book"], "page_no": r["page_no"]} | endnote_scan(r["lines"], bool(r["pictures"]), len(r["blocks"]) > 0, bool(r["beside_notes"])) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows_, schema=shapes[0])
 
     told = F.when(F.size("blocks") > 0, F.flatten("blocks")).otherwise(F.col("loose"))
     most = F.nullif(F.array_max(F.transform(told, lambda x: F.coalesce(x["numbered"]["number"], F.lit(0)))), F.lit(0))
-    ends = rows.mapInPandas(endnotes, f"book string, page_no int, page_kind string, items array<{ITEM}>, section_hints array<string>, ambiguity_flags array<string>, note_start int")
+    ends = rows.select("book", "page_no", "lines", "blocks", "pictures", "beside_notes").mapInArrow(endnotes, first)
     both = rows.select("book", "page_no", "lines", "loose", "blocks", most.alias("most")).join(ends, ["book", "page_no"])
     last = both.where("size(items) = 0").select("book", (F.col("page_no") + 1).alias("page_no"), F.col("most").alias("last"))
 
-    def footnotes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
+    def footnotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for r in p.itertuples(index=False):
-                scan = {"page_kind": r.page_kind, "items": [plain(x) for x in r.items], "section_hints": list(r.section_hints), "ambiguity_flags": list(r.ambiguity_flags), "note_start": None if pd.isna(r.note_start) else int(r.note_start)}
+            for r in b.to_pylist():
+                scan = {n: r[n] for n in names}
                 if not scan["items"]:
-                    foot = footnote_items([[plain(x) for x in b] for b in r.blocks], [plain(x) for x in r.loose], None if pd.isna(r.last) else int(r.last))
+                    foot = footnote_items(r["blocks"], r["loose"], r["last"])
                     scan = {"page_kind": "body_with_page_footnotes" if foot else "body", "items": foot, "section_hints": [], "ambiguity_flags": [] if foot else scan["ambiguity_flags"], "note_start": None}
                 scan["reviewed"] = False
                 if reviewer and scan["ambiguity_flags"]:
-                    scan = reviewed(scan, reviewer({"book": r.book, "page_no": r.page_no, "lines": [plain(x)["line"] for x in r.lines]}, scan))
-                out.append((r.book, r.page_no, *(scan[k] for k in (*names, "reviewed"))))
-            yield pd.DataFrame(out, columns=["book", "page_no", *names, "reviewed"]).astype({"note_start": "Int32"})
+                    scan = reviewed(scan, reviewer({"book": r["book"], "page_no": r["page_no"], "lines": r["texts"]}, scan))
+                out.append({"book": r["book"], "page_no": r["page_no"], **scan})
+            yield pa.RecordBatch.from_pylist(out, schema=shapes[1])
 
-    return both.join(last, ["book", "page_no"], "left").mapInPandas(footnotes, "book string, page_no int, " + SCAN)
+    texts = F.transform("lines", lambda x: x["line"]) if reviewer else F.array().cast("array<string>")
+    fed = both.join(last, ["book", "page_no"], "left").select("book", "page_no", "loose", "blocks", *names, "last", texts.alias("texts"))
+    return fed.mapInArrow(footnotes, f"book string, page_no int, {SCAN}")
 
 
 def reviewed(scan: dict, answer: dict | None) -> dict:

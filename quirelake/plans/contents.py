@@ -215,7 +215,7 @@ OWNERS = "it as (select nt.book, marker, note_page as page_no, marker // 10 as r
 
 
 def owned(spark, d):
-    it = notes(spark, d).select("book", F.col("marker").alias("item_id"), F.col("note_page").alias("page_no"), F.expr("marker div 10").alias("region_id"), F.when(F.col("marker") % 5 == 0, 1).alias("owner"))
+    it = notes(spark, d).select("book", F.col("marker").alias("item_id"), F.col("note_page").alias("page_no"), F.expr("marker div 10").cast("int").alias("region_id"), F.when(F.col("marker") % 5 == 0, 1).alias("owner"))
     ch = chapters(spark, d).where("chapter_no % 3 <> 1").select("book", "chapter_no", "start_page", "end_page")
     return R.fallback_owners(it, ch, ["book"])
 

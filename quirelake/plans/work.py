@@ -61,7 +61,7 @@ LISTS = "nl as (select book, note_page // 10 as region, list(case when marker %
 def number_lists(spark, d):
     n = F.col("marker")
     read = F.when(n % 17 == 0, 1900 + n).when(n % 13 == 0, 1).otherwise(n).cast("int")
-    lists = notes(spark, d).groupBy("book", F.expr("note_page div 10").alias("region")).agg(F.array_sort(F.collect_list(F.struct("note_page", "marker", read.alias("read")))).alias("a"))
+    lists = notes(spark, d).groupBy("book", F.expr("note_page div 10").cast("int").alias("region")).agg(F.array_sort(F.collect_list(F.struct("note_page", "marker", read.alias("read")))).alias("a"))
     return lists.select("book", "region", F.transform("a", lambda x: x["read"]).alias("a"))
 
 
@@ -93,7 +93,7 @@ INDEX = "ix as (select book, case when marker % 6 > 0 then note_page // 10 end a
 
 def index_items(spark, d):
     n = F.col("marker")
-    return notes(spark, d).select("book", F.when(n % 6 > 0, F.expr("note_page div 10")).alias("chapter_no"), (n % 30).cast("int").alias("number"), F.concat(F.lit("note "), n.cast("string")).alias("text"), F.col("note_page").alias("page_no"), F.when(n % 4 == 0, F.lit("Notes ")).alias("hint"))
+    return notes(spark, d).select("book", F.when(n % 6 > 0, F.expr("note_page div 10").cast("int")).alias("chapter_no"), (n % 30).cast("int").alias("number"), F.concat(F.lit("note "), n.cast("string")).alias("text"), F.col("note_page").alias("page_no"), F.when(n % 4 == 0, F.lit("Notes ")).alias("hint"))
 
 
 @query("endnote_index", "nt", f"with {INDEX} select book, chapter_no, number, page_no, readings, case when chapter_no is null then 'book' else 'chapter' end as scope from en")
