@@ -1,8 +1,8 @@
 """Ordering operators: numbering, islands, gap filling, as-of and interval joins.
 
-All of them take a numeric order column and stay even when one group holds much of the table: a group is cut into
-blocks of its order column, blocks are summed with map-side combination, and only the short table of block sums is
-put through a window per group.
+numbered() stays even when one group holds much of the table: a group is cut into blocks of its numeric order column,
+blocks are summed with map-side combination, and only the short table of block sums is put through a window per group.
+The others run plain windows over a group, which is a book's pages, notes or chapters: bounded by the book, not split.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -191,7 +192,11 @@ def user_sessions(spark, d):
 
 
 def _shared(spark) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="streams-")
     return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
