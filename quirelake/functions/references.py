@@ -21,7 +21,7 @@ LEADING_MARKER = r"(?i)^\s*(?:\[[0-9]{1,4}[A-Za-z]?\]|[0-9]{1,4}[A-Za-z]?[.)]|\*
 IMAGE_TAIL = r"(?is)(?:(?:\n\s*)*(?:<div[^>]*>\s*<img\b[^>]*>\s*</div>|!\[[^\]]*\]\([^)]+\))\s*)+$"
 PREFIX = r"^(\s*\[\^[^\]]+\]:\s+|\s*#{1,6}\s+|\s*[-*+]\s+|\s*[0-9]+\.\s+|\s*>\s+|\s*)(.*)$"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-CJK = r"[㐀-䶿一-鿿豈-﫿]"
+CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 SENTENCE_MARKS = "[.!?;:。！？；：]"
 
 
