@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quirelake.functions.text import let
+
 # Digits and their superscripts, symbols, certainty and priority of the ways to write a marker.
 DIGITS = "0123456789"
 RAISED = "⁰¹²³⁴⁵⁶⁷⁸⁹"
@@ -90,13 +92,15 @@ def digits_inside(short: Column, long: Column) -> Column:
 def scanned(c: Column) -> Column:
     """array<struct<priority, form, marker, certainty>> of all markers, forms of higher priority first; a marker that a
     higher form already gave stays out, and so do years."""
-    out, text = None, c
-    for form, (pattern, priority, certainty) in sorted(FORMS.items(), key=lambda x: (x[1][1], x[0])):
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        rows = F.transform(hits, _hit(priority, form, certainty))
-        out = rows if out is None else F.concat(out, rows)
-        text = F.regexp_replace(text, pattern, " ")  # overlapping text is taken once
-    return F.filter(out, lambda x: ~is_year(x["marker"]))
+    forms = sorted(FORMS.items(), key=lambda x: (x[1][1], x[0]))
+
+    def found(text: Column, left: list) -> Column:
+        (form, (pattern, priority, certainty)), *more = left
+        rows = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), _hit(priority, form, certainty))
+        # overlapping text is taken once, and each form's remaining text is made once
+        return F.concat(rows, let(F.regexp_replace(text, pattern, " "), lambda t: found(t, more))) if more else rows
+
+    return F.filter(found(c, forms), lambda x: ~is_year(x["marker"]))
 
 
 def _hit(priority: int, form: str, certainty: float):
