@@ -23,6 +23,6 @@ def same(spark, folder, part, name, texts):
     return got
 
 
-@pytest.mark.parametrize("name", ["chapter_numbers"])
+@pytest.mark.parametrize("name", ["chapter_numbers", "chapters_by_number"])
 def test_numbers_of_titles(spark, tmp_path, name):
     assert len(same(spark, tmp_path, matching, name, [t for x in LINES for t in (x, *["filling text"] * 9)] * 3)) == 30
