@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quirelake.plans import matching
+from quirelake.plans import matching, pagetexts
 from tests.compare import plain, spark_rows
 
 LINES = ["Cillmi of the long road", "Vi and others", "4537960215852590 is no number", "", None, "XIV. The end", "12 men", "Im Anfang war es", "3. Rivers", "Chapter 4: Roads"]
@@ -26,3 +26,8 @@ def same(spark, folder, part, name, texts):
 @pytest.mark.parametrize("name", ["chapter_numbers", "chapters_by_number"])
 def test_numbers_of_titles(spark, tmp_path, name):
     assert len(same(spark, tmp_path, matching, name, [t for x in LINES for t in (x, *["filling text"] * 9)] * 3)) == 30
+
+
+def test_share_of_letters(spark, tmp_path):
+    # 55 of 100 characters are letters: the share is reached, not missed by a rounding
+    assert any(r[1] for r in same(spark, tmp_path, pagetexts, "block_headings", ["x"] * 11 + ["A" * 55 + "%" * 40]))
