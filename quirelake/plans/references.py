@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirelake.functions import references as R
+from quirelake.functions import text as T
 from quirelake.sources.books import anchors, contents, notes, pages, samples, sql
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -75,8 +76,8 @@ def exportable_headings(spark, d):
 @query("garbled_blocks", "sm", r"with v as (select doc_id, k, n, case n % 4 when 0 then upper(s) || n when 1 then '漢字漢字' || s when 2 then translate(s, 'aeiou', '@;:<>') else s end as t from sm), w as (select *, regexp_replace(trim(t), '\s', '', 'g') as b from v) select doc_id, k, length(b) >= 12 and (regexp_matches(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]') or regexp_matches(t, '[A-Z0-9@;:<>=?]{12,}') or (10 * length(regexp_replace(b, '[^\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]', '', 'g')) < 3 * length(b) and 100 * length(regexp_replace(b, '[^\p{Lu}\p{Nd}@;:<>=?]', '', 'g')) >= 55 * length(b))) as garbled from w")
 def garbled_blocks(spark, d):
     s, r = F.col("s"), F.col("n") % 4
-    t = F.when(r == 0, F.concat(F.upper(s), F.col("n").cast("string"))).when(r == 1, F.concat(F.lit("漢字漢字"), s)).when(r == 2, F.translate(s, "aeiou", "@;:<>")).otherwise(s)
-    return samples(spark, d).select("doc_id", "k", R.is_garbled_block(t).alias("garbled"))
+    t = F.when(r == 0, F.concat(T.upper_each(s), F.col("n").cast("string"))).when(r == 1, F.concat(F.lit("漢字漢字"), s)).when(r == 2, F.translate(s, "aeiou", "@;:<>")).otherwise(s)
+    return samples(spark, d).select("doc_id", "k", T.let(t, R.is_garbled_block).alias("garbled"))
 
 
 @query("swallowed_chapters", "ct", r"with n as (select book, chapter_no, title, lead(title) over (partition by book order by chapter_no) as next from ct) select book, chapter_no, coalesce(regexp_replace(lower(next), '[^\p{L}0-9]+', '', 'g') <> '' and chapter_no % 3 = 0, false) as swallows from n")

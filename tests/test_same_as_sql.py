@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from quirelake.plans import matching, pagetexts
+from quirelake.functions import text as T
+from quirelake.plans import matching, pagetexts, references
 from tests.compare import plain, spark_rows
 
 LINES = ["Cillmi of the long road", "Vi and others", "4537960215852590 is no number", "", None, "XIV. The end", "12 men", "Im Anfang war es", "3. Rivers", "Chapter 4: Roads"]
@@ -31,3 +33,11 @@ def test_numbers_of_titles(spark, tmp_path, name):
 def test_share_of_letters(spark, tmp_path):
     # 55 of 100 characters are letters: the share is reached, not missed by a rounding
     assert any(r[1] for r in same(spark, tmp_path, pagetexts, "block_headings", ["x"] * 11 + ["A" * 55 + "%" * 40]))
+
+
+def test_capitals_one_for_one(spark, tmp_path):
+    same(spark, tmp_path, references, "garbled_blocks", ["x"] * 4 + ["Aupfber%%% der&&& des&&& üß%%% der&&& tzö&&& au%%% des.", "ßßßßßßßßß%%%%%%%%%%%", "ﬁnﬂ ŉ ᾳ ǆ straße" * 3] * 40)
+    assert not {c for c in map(chr, range(0x110000)) if len(c.upper()) > 1} - set(T.SPREAD_LETTERS)
+    letters = [*T.SPREAD_LETTERS, "aß", "ßa", "Straße ﬁn", "ŉ", "", None, "plain ǆ"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in letters], "s string").select(T.upper_each(F.col("s"))).collect()]
+    assert got == [duckdb.execute("select upper(?::varchar)", [x]).fetchone()[0] for x in letters]
