@@ -84,7 +84,8 @@ def embedded_line(c: Column) -> Column:
     """struct(number, body) of a number of at most 20 inside a line, after twenty or more characters; else null."""
     t = normal_line(c)
     n, rest = number_token(F.regexp_extract(t, EMBEDDED, 1)), F.trim(F.regexp_extract(t, EMBEDDED, 2))
-    return F.when((n <= 20) & (rest != ""), F.struct(n.alias("number"), rest.alias("body")))
+    # only a line with a digit behind so many characters can hold one
+    return F.when(F.regexp_like(T.plain(c), F.lit("(?s)^.{21,}[0-9]")), F.when((n <= 20) & (rest != ""), F.struct(n.alias("number"), rest.alias("body"))))
 
 
 def embedded_definition(c: Column, last: Column) -> Column:

@@ -1,8 +1,8 @@
 """Note scans of pages: which pages hold footnotes or endnotes, and their items.
 
 A page's items depend on its own lines, on its neighbours' lines, and on the greatest footnote number of the page
-before, which that page's own lines give: lost notes are numbered below the numbers that are read. So neighbours' tests and
-numbers come by equi-joins on page numbers, and pages are folded independently of each other: no task holds a book.
+before, which that page's own lines give: lost notes are numbered below the numbers that are read. So pages send tests and
+numbers to their neighbours' page numbers, and are folded independently of each other: no task holds a book.
 """
 
 from __future__ import annotations
@@ -230,28 +230,35 @@ def note_scans(pages: DataFrame, reviewer=None) -> DataFrame:
     scan counts where it scores at least as much.
     """
     keyed = pages.select("book", "page_no", L.broken_lines(F.col("markdown")).alias("lines"), L.broken_lines(F.col("footnotes")).alias("loose"), F.transform(F.coalesce("blocks", F.array().cast("array<string>")), L.broken_lines).alias("blocks"))
-    tests = keyed.select("book", "page_no", F.slice("lines", 1, 8).alias("top"), L.begins_with_notes(F.col("lines")).alias("notes"))
-    before = tests.select("book", (F.col("page_no") + 1).alias("page_no"), F.col("top").alias("top_before"), F.col("notes").alias("notes_before"))
-    after = tests.select("book", (F.col("page_no") - 1).alias("page_no"), F.col("notes").alias("notes_after"))
-    rows = keyed.join(before, ["book", "page_no"], "left").join(after, ["book", "page_no"], "left")
+    keyed = keyed.select("book", "page_no", F.struct("lines", "loose", "blocks").alias("own"), F.slice("lines", 1, 8).alias("top"), L.begins_with_notes(F.col("lines")).alias("notes"))
+    # a page and what its neighbours need of it go out together: one exchange, and each page is read once
+    met = sent(keyed, {"own": (0, F.col("own")), "top_before": (1, F.col("top")), "notes_before": (1, F.col("notes")), "notes_after": (-1, F.col("notes"))})
+    rows = met.select("book", "page_no", F.explode("own").alias("own"), F.get("top_before", 0).alias("top_before"), F.array_contains(F.concat("notes_before", "notes_after"), True).alias("beside_notes"))
     rows = rows.select(
-        "book", "page_no", L.classified(F.col("lines")).alias("lines"), L.classified(F.col("loose")).alias("loose"), F.transform("blocks", L.classified).alias("blocks"),
-        L.is_picture_list(F.col("lines"), F.col("top_before")).alias("pictures"), (F.coalesce("notes_before", F.lit(False)) | F.coalesce("notes_after", F.lit(False))).alias("beside_notes"),
+        "book", "page_no", L.classified(F.col("own.lines")).alias("lines"), L.classified(F.col("own.loose")).alias("loose"), F.transform("own.blocks", L.classified).alias("blocks"),
+        L.is_picture_list(F.col("own.lines"), F.col("top_before")).alias("pictures"), "beside_notes",
     )
     names = ["page_kind", "items", "section_hints", "ambiguity_flags", "note_start"]
     first = f"book string, page_no int, {SCAN}".rpartition(",")[0]
     shapes = [to_arrow_schema(StructType.fromDDL(x)) for x in (first, f"book string, page_no int, {SCAN}")]
+    told = F.when(F.size("blocks") > 0, F.flatten("blocks")).otherwise(F.col("loose"))
+    most = F.nullif(F.array_max(F.transform(told, lambda x: F.coalesce(x["numbered"]["number"], F.lit(0)))), F.lit(0))
+    texts = F.transform("lines", lambda x: x["line"]) if reviewer else F.array().cast("array<string>")
+    # a page without numbers and headings has no endnotes, whatever its lines
+    telling = F.exists("lines", lambda x: x["numbered"].isNotNull() | x["bare_heading"] | x["heading"])
+    fed = rows.select("book", "page_no", F.when(telling, F.col("lines")).otherwise(F.slice("lines", 1, 0)).alias("lines"), F.coalesce("pictures", F.lit(False)).alias("pictures"), (F.size("blocks") > 0).alias("has_blocks"), "beside_notes", "loose", "blocks", most.alias("most"), texts.alias("texts"))
+    kept = ["loose", "blocks", "most", "texts"]
 
     def endnotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows_ = [{"book": r["book"], "page_no": r["page_no"]} | endnote_scan(r["lines"], bool(r["pictures"]), len(r["blocks"]) > 0, bool(r["beside_notes"])) for r in b.to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows_, schema=shapes[0])
+            own = b.select(["book", "page_no", "lines", "pictures", "has_blocks", "beside_notes"]).to_pylist()
+            rows_ = [{"book": r["book"], "page_no": r["page_no"]} | endnote_scan(r["lines"], r["pictures"], r["has_blocks"], bool(r["beside_notes"])) for r in own]
+            out = pa.RecordBatch.from_pylist(rows_, schema=shapes[0])
+            yield pa.RecordBatch.from_arrays([*out.columns, *(b.column(c) for c in kept)], names=[*out.schema.names, *kept])
 
-    told = F.when(F.size("blocks") > 0, F.flatten("blocks")).otherwise(F.col("loose"))
-    most = F.nullif(F.array_max(F.transform(told, lambda x: F.coalesce(x["numbered"]["number"], F.lit(0)))), F.lit(0))
-    ends = rows.select("book", "page_no", "lines", "blocks", "pictures", "beside_notes").mapInArrow(endnotes, first)
-    both = rows.select("book", "page_no", "lines", "loose", "blocks", most.alias("most")).join(ends, ["book", "page_no"])
-    last = both.where("size(items) = 0").select("book", (F.col("page_no") + 1).alias("page_no"), F.col("most").alias("last"))
+    ends = fed.mapInArrow(endnotes, ", ".join([first, *(f"{c} {fed.schema[c].dataType.simpleString()}" for c in kept)]))
+    ends = ends.select("book", "page_no", F.struct(*names, *kept).alias("own"))
+    met = sent(ends, {"own": (0, F.col("own")), "last": (1, F.when(F.size("own.items") == 0, F.col("own.most")))})
 
     def footnotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,9 +274,17 @@ def note_scans(pages: DataFrame, reviewer=None) -> DataFrame:
                 out.append({"book": r["book"], "page_no": r["page_no"], **scan})
             yield pa.RecordBatch.from_pylist(out, schema=shapes[1])
 
-    texts = F.transform("lines", lambda x: x["line"]) if reviewer else F.array().cast("array<string>")
-    fed = both.join(last, ["book", "page_no"], "left").select("book", "page_no", "loose", "blocks", *names, "last", texts.alias("texts"))
-    return fed.mapInArrow(footnotes, f"book string, page_no int, {SCAN}")
+    both = met.select("book", "page_no", F.explode("own").alias("own"), F.get("last", 0).alias("last"))
+    return both.select("book", "page_no", *(f"own.{c}" for c in ("loose", "blocks", *names, "texts")), "last").mapInArrow(footnotes, f"book string, page_no int, {SCAN}")
+
+
+def sent(pages: DataFrame, what: dict[str, tuple[int, Column]]) -> DataFrame:
+    """book, page_no and lists of what pages (book, page_no, ...) send themselves and their neighbours: name: (pages ahead, value).
+    Pages that nothing but a neighbour knows of have an empty first list."""
+    ahead = sorted({n for n, _ in what.values()})
+    to = [F.struct((F.col("page_no") + n).alias("page_no"), *(F.when(F.lit(m == n), x).alias(name) for name, (m, x) in what.items())) for n in ahead]
+    out = pages.select("book", F.explode(F.array(*to)).alias("x")).select("book", "x.*")
+    return out.groupBy("book", "page_no").agg(*(F.collect_list(name).alias(name) for name in what))
 
 
 def reviewed(scan: dict, answer: dict | None) -> dict:

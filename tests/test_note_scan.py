@@ -100,3 +100,11 @@ def test_line_columns(spark):
     assert tuple(one) == ("a\nb", True, False, "The body")
     pages = spark.createDataFrame([([("image", "", 0)], "<img src=1>"), ([("text", "x" * 30, 0)], "<img>"), ([], "short"), ([], "y" * 60), ([("text", "cap", 0), ("image", "", 0)], "z" * 80), ([("text", "cap", 0)], "12" * 40)], "b array<struct<label:string,text:string,heading_level:int>>, m string")
     assert [r.f for r in pages.select(L.is_figure_page(F.col("b"), F.col("m")).alias("f")).collect()] == [True, False, True, False, True, True]
+
+
+def test_each_page_is_read_once(spark):
+    """Neighbours' needs travel with the pages: one fold each for endnotes and footnotes, one reading of the pages."""
+    df = spark.createDataFrame([("b", n, f"{n}. A line of text.", "", []) for n in range(1, 4)], "book string, page_no int, markdown string, footnotes string, blocks array<string>")
+    plan = note_scans(df)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.partition("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 2 and plan.count("Scan ExistingRDD") == 1
