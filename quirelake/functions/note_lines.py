@@ -39,7 +39,8 @@ NOISY_NEXT = r"^\s*([!¡|\[\]().,;:'\"“”‘’?/\\-]{1,6})\s*([0-9]{1,4}[A-Z
 def normal_line(c: Column) -> Column:
     """Raised markers of formulas as [n], ends trimmed."""
     t = F.regexp_replace(F.trim(T.plain(c)), r"\$\s*\^\{([0-9]+)\}\s*\$", "[$1]")
-    return F.trim(F.regexp_replace(t, r"(^|[^0-9A-Za-z_\[])\^\{([0-9]+)\}", "$1[$2]"))
+    raised = F.trim(F.regexp_replace(t, r"(^|[^0-9A-Za-z_\[])\^\{([0-9]+)\}", "$1[$2]"))
+    return F.when(F.contains(T.plain(c), F.lit("^{")), raised).otherwise(F.trim(T.plain(c)))
 
 
 def without_heading(c: Column) -> Column:
@@ -104,7 +105,7 @@ def symbol_line(c: Column) -> Column:
 
 def only_marker(c: Column) -> Column:
     t = normal_line(c)
-    return number_token(F.concat(F.regexp_extract(t, ONLY_MARKER, 1), F.regexp_extract(t, ONLY_MARKER, 2)))
+    return F.when(F.regexp_like(t, F.lit(ONLY_MARKER)), number_token(F.concat(F.regexp_extract(t, ONLY_MARKER, 1), F.regexp_extract(t, ONLY_MARKER, 2))))
 
 
 def lost_note(c: Column, read: Column | None = None) -> Column:
