@@ -10,6 +10,12 @@ verified on all 64 bits.
 Copies have one fingerprint and are one node. A bucket gives a spanning forest of its links, not all its pairs; a
 large bucket is divided again and again by the same principle on its other bits. Components come from star contraction.
 
+Pairs that differ in a share of their bits, and not in a few, are met by wide fingerprints: words of 64 bits, each
+divided into groups like the above. Counts of all group values are again the costs, and the same programme picks which
+groups are probed (threshold 0) and which never (-1). With p of them probed, pairs that differ in fewer than p bits of
+these groups meet for certain; others miss all p groups with probability (1 - (1 - share)^bits)^p, and p is chosen for
+this to be at most `loss` (computed for independent bits). Members of a bucket are compared on further words.
+
 Defined results: a null or empty text has fingerprint zero and links like any other; component_id is the least
 non-null doc_id of the component; rows with equal doc_id keep their own fingerprints; an empty table gives an empty
 result; other columns are kept away.
@@ -17,15 +23,16 @@ result; other columns are kept away.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import Scratch, numbered, portions, read
+from quirelake.llm.common import U64, Scratch, mixed, numbered, portions, random_words, read
 from quirelake.llm.components import components
 from quirelake.llm.suffix_dedup import arrow, batch
 
@@ -34,6 +41,10 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1].astype(np.int64)  # [byte, bit]
 POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 BRUTE = 256
+LANES = U64(0x0101010101010101)  # one bit of each byte
+CHECKS = 3  # words of a wide fingerprint that are only compared
+MATRIX = 1024  # members of a bucket that are compared at once
+ROUND = 32  # groups whose buckets are shuffled at once
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -65,22 +76,27 @@ def fingerprinted(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("th"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
-def bit_groups(fps: DataFrame, m: int) -> list[list[int]]:
-    """The 64 bits in m groups; bits that agree or disagree most often go together. Counts are over all rows."""
+def bit_counts(fps: DataFrame, words: int = 1) -> np.ndarray:
+    """[word, bit, bit]: in how many rows of fps (fp: an array of words) both bits are set. Counts are over all rows."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((64, 64), np.int64)
+        total = np.zeros((words, 64, 64), np.int64)
         for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint8).reshape(-1, 8)
-            bits = np.unpackbits(x, axis=1, bitorder="little").astype(np.float64)
-            total += (bits.T @ bits).astype(np.int64)
-        yield batch(arrow("at int, n long"), at=np.arange(4096), n=total.ravel())
-
-    both = np.zeros(4096)
-    for r in fps.select("fp").mapInArrow(pairs, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # 4096 rows
-        both[r.at] = r.n
-    both = both.reshape(64, 64)
-    n, one = max(1, fps.count()), np.diag(both)
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, words)
+            for w in range(words):
+                bits = np.unpackbits(np.ascontiguousarray(x[:, w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
+                total[w] += (bits.T @ bits).astype(np.int64)
+        yield batch(arrow("at int, n long"), at=np.arange(words * 4096), n=total.ravel())
+
+    both = np.zeros(words * 4096)
+    rows = fps.select("fp").mapInArrow(pairs, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 4096 rows a word
+    both[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    return both.reshape(words, 64, 64)
+
+
+def divided(both: np.ndarray, n: int, m: int) -> list[list[int]]:
+    """64 bits in m groups; bits that agree or disagree most often go together."""
+    one = np.diag(both)
     cov = both / n - np.outer(one, one) / n / n
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     tie = np.abs(cov / np.outer(sd, sd))
@@ -95,6 +111,11 @@ def bit_groups(fps: DataFrame, m: int) -> list[list[int]]:
     return groups
 
 
+def bit_groups(fps: DataFrame, m: int) -> list[list[int]]:
+    """The 64 bits in m groups, by counts over all rows."""
+    return divided(bit_counts(fps.select(F.array("fp").alias("fp")))[0], max(1, fps.count()), m)
+
+
 def _mask(bits: list[int]) -> int:
     x = sum(1 << b for b in bits)
     return x - (1 << 64) if x >> 63 else x
@@ -259,6 +280,113 @@ def linked(fps: DataFrame, most: int = 3, m: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def majorities(hashes: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """Wide fingerprints [row, word] of rows that all have hashes, hashes[at[r]:at[r + 1]], mixed anew for each word: a
+    bit is 1 if set in over half of them. Bytes of a word count one bit each, in runs of at most 255 hashes."""
+    size = np.diff(at)
+    runs = -(-size // 255)
+    first = np.r_[0, np.cumsum(runs)]
+    starts = np.repeat(at[:-1], runs) + 255 * (np.arange(first[-1]) - np.repeat(first[:-1], runs))
+    out = np.empty((len(size), words), U64)
+    for w, salt in enumerate(random_words(words, 13)):
+        h = mixed(hashes + salt)
+        ones = np.empty((len(starts), 8, 8), np.uint8)
+        for s in range(8):
+            ones[:, :, s] = np.add.reduceat(h >> U64(s) & LANES, starts).view(np.uint8).reshape(-1, 8)
+        total = ones.reshape(-1, 64).astype(np.int32)
+        if len(starts) > len(size):
+            total = np.add.reduceat(total, first[:-1], axis=0)
+        out[:, w] = np.packbits(2 * total > size[:, None], axis=1, bitorder="little").view(U64)[:, 0]
+    return out
+
+
+def wide_plan(n: int, share: float, loss: float) -> tuple[int, int, int]:
+    """(words, groups of each, groups to probe) for n fingerprints: some 2^8 of unlike ones share a group's value."""
+    m = -(-64 // min(32, max(4, n.bit_length() - 8)))
+    meet = (1 - share) ** -(-64 // m)
+    need = math.ceil(math.log(loss) / math.log1p(-meet))
+    return -(-need // m), m, need
+
+
+def wide_groups(prints: DataFrame, words: int, m: int, need: int) -> list[tuple[int, list[int]]]:
+    """(word, bits) of the groups to probe, those of least cost."""
+    n = prints.count()
+    both = bit_counts(prints.select(F.slice("fp", 1, words).alias("fp")), words)
+    groups = [(w, bits) for w in range(words) for bits in divided(both[w], max(1, n), m)]
+    values = F.explode(F.array(*(F.struct(F.lit(g).alias("g"), _value(w, bits).alias("v")) for g, (w, bits) in enumerate(groups)))).alias("x")
+    counts = prints.select(values).groupBy("x.g", "x.v").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("n"))
+    pairs = {r.g: r.n for r in counts.collect()}  # one row a group
+    picks = thresholds([[0.0, n + pairs.get(g, 0.0)] for g in range(len(groups))], need - 1)
+    return [x for x, t in zip(groups, picks, strict=True) if t == 0]
+
+
+def _value(word: int, bits: list[int]) -> Column:
+    return F.element_at("fp", word + 1).bitwiseAND(F.lit(_mask(bits)))
+
+
+def near_lists(checks: np.ndarray, most: int) -> list[list[int]]:
+    """Lists of the members of a bucket (checks[word, member]) that hold all pairs that differ in at most `most` bits:
+    pairs where there are few, else all that are in any; of a large bucket, what such pairs connect."""
+    n = checks.shape[1]
+    if n <= MATRIX:
+        far = sum(np.bitwise_count(c[:, None] ^ c) for c in checks)
+        i, j = np.nonzero(np.triu(far <= most, 1))
+        own = np.unique(np.r_[i, j])
+        return np.c_[i, j].tolist() if len(i) <= 8 * len(own) else [own.tolist()]
+    left, out = np.arange(n), []
+    while len(left):
+        own, todo, left = [], [int(left[0])], left[1:]
+        while todo:
+            own.append(todo.pop())
+            near = sum(np.bitwise_count(c[left] ^ c[own[-1]]) for c in checks) <= most
+            todo += left[near].tolist()
+            left = left[~near]
+        if len(own) > 1:
+            out.append(sorted(own))
+    return out
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows in order of the first one, in portions that cut none of its values."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut or (held and held[-1][0][-1] != cols[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in cols], strict=True)]
+            held = []
+        held.append([c[cut:] for c in cols])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def wide_lists(prints: DataFrame, scratch: Scratch, words: int, m: int, need: int, most: int) -> DataFrame:
+    """nodes (sorted arrays): for prints (node, fp: `words` words and CHECKS more, as by wide_plan), lists that hold all
+    pairs that meet in a probed group and differ in at most `most` bits of the last CHECKS words."""
+    groups = wide_groups(prints, words, m, need)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, *checks in whole_buckets(batches):
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            some = np.flatnonzero(np.diff(cut) > 1)
+            all_checks, out = np.array(checks).view(U64), []
+            for a, b in zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True):
+                own = node[a:b]
+                out += [np.sort(own[x]) for x in near_lists(all_checks[:, a:b], most)]
+            if out:
+                yield batch(arrow("nodes array<long>"), nodes=out)
+
+    found = None
+    for r in range(0, len(groups), ROUND):
+        keys = F.explode(F.array(*(F.xxhash64(F.lit(r + g), _value(w, bits)) for g, (w, bits) in enumerate(groups[r : r + ROUND])))).alias("key")
+        rows = prints.select(keys, "node", *(F.element_at("fp", words + 1 + c).alias(f"c{c}") for c in range(CHECKS)))
+        own = scratch.save(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "nodes array<long>").distinct(), f"met-{r}")
+        found = own if found is None else found.unionByName(own)
+    return found.distinct()
+
+
 def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (hexadecimal), component_id of each row; th is a key of the row, root one of its component."""
     scratch = Scratch(docs.sparkSession, "simhash")
