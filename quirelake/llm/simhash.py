@@ -332,7 +332,7 @@ def near_lists(checks: np.ndarray, most: int) -> list[list[int]]:
         far = sum(np.bitwise_count(c[:, None] ^ c) for c in checks)
         i, j = np.nonzero(np.triu(far <= most, 1))
         own = np.unique(np.r_[i, j])
-        return np.c_[i, j].tolist() if len(i) <= 8 * len(own) else [own.tolist()]
+        return np.c_[i, j].tolist() if len(i) <= len(own) else [own.tolist()]
     left, out = np.arange(n), []
     while len(left):
         own, todo, left = [], [int(left[0])], left[1:]
